@@ -1,0 +1 @@
+"""No operator of the original tool is a streaming one, so nothing is built here."""
