@@ -36,6 +36,16 @@ def text_key(text: Column) -> Column:
     return F.when(is_long(text), F.concat(F.lit(DIGEST_PREFIX), F.sha2(text, 256))).otherwise(text)
 
 
+def sql_text_key(text: str) -> str:
+    """:func:`text_key` as a SQL expression."""
+    return f"if(length({text}) > {LONG_TEXT}, concat('{DIGEST_PREFIX}', sha2({text}, 256)), {text})"
+
+
+def sql_normalised(text: str) -> str:
+    """:func:`normalised` as a SQL expression."""
+    return f"regexp_replace(lower({text}), r'(?U)^{_BLANK}+|{_BLANK}+$', '')"
+
+
 def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
 

@@ -9,7 +9,6 @@ from tieweave.config import Config
 from tieweave.functions.families import wants_minmax
 from tieweave.functions.scores import ratio
 from tieweave.operators.values import (
-    VALUE_KEYS,
     has_value,
     rank_values,
     restore_long_texts,
@@ -74,7 +73,9 @@ def top_values(
     values: DataFrame, columns: DataFrame, catalog: Catalog, limit: int = Config.top_n
 ) -> DataFrame:
     """The most frequent values of each column, readable."""
-    ranked = restore_long_texts(top_keys(values, columns, limit), catalog)
+    ranked = restore_long_texts(
+        top_keys(values, columns, limit).withColumn("is_long", F.col("long").isNotNull()), catalog
+    )
     return columns.join(ranked, "col_id").select(
         *columns.columns,
         "rank",
@@ -121,6 +122,3 @@ def sampled_scans(catalog: Catalog, modes: DataFrame, config: Config) -> dict[st
         )
         for r in chosen
     }
-
-
-__all__ = ["column_profiles", "profiling_modes", "sampled_scans", "top_keys", "top_values", "VALUE_KEYS"]

@@ -17,26 +17,24 @@ RELATIONSHIP = (
     "struct<source_table:string,source_column:string,target_table:string,target_column:string,"
     "confidence:string,reasoning:string,rel_type:string>"
 )
-DESCRIPTION = "struct<table:string,column:string,description:string,data_type:string,domain_terms:array<string>>"
+DESCRIPTION = "struct<table:string,column:string,description:string,data_type:string,domain_terms:variant>"
 
 _FENCE = r"```(?:json)?\s*\n([\s\S]*?)\n```"
+_LIST = r"(?s)\[.*\]"
 _TEXT_ENDS = r"(?U)^\s+|\s+$"
 
 
 def json_part(text: Column) -> Column:
     """The JSON of a response: out of its code fence, from the first ``[`` to the last ``]``."""
-    body = F.regexp_replace(text, _TEXT_ENDS, "")
-    fenced = F.regexp_extract(body, _FENCE, 1)
-    body = F.when(body.rlike(_FENCE), F.regexp_replace(fenced, _TEXT_ENDS, "")).otherwise(body)
-    start = F.instr(body, F.lit("["))
-    end = F.length(body) - F.instr(F.reverse(body), F.lit("]")) + 1
-    found = (start > 0) & F.contains(body, F.lit("]")) & (end > start)
-    return F.when(found, F.substring(body, start, end - start + 1)).otherwise(body)
+    body = F.coalesce(F.nullif(F.regexp_extract(text, _FENCE, 1), F.lit("")), text)
+    return F.coalesce(
+        F.nullif(F.regexp_extract(body, _LIST, 0), F.lit("")), F.regexp_replace(body, _TEXT_ENDS, "")
+    )
 
 
-def is_truncated(text: Column) -> Column:
-    """True when the list does not end with its closing bracket."""
-    return ~F.endswith(F.regexp_replace(json_part(text), _TEXT_ENDS, ""), F.lit("]"))
+def is_truncated(json: Column) -> Column:
+    """True when the JSON of a response does not end with the closing bracket of a list."""
+    return ~F.endswith(json, F.lit("]"))
 
 
 def cleaned(json: Column) -> Column:
@@ -45,24 +43,20 @@ def cleaned(json: Column) -> Column:
     return F.regexp_replace(plain, r",\s*([}\]])", "$1")
 
 
-def _items(json: Column) -> Column:
-    """Elements of the list as JSON texts; NULL when the text is no list and no wrapper.
+def parse_responses(responses: DataFrame) -> DataFrame:
+    """Each response with its list ``items`` (NULL when unreadable) and ``truncated``.
 
-    The text is checked as a whole first, because a lenient reader would accept its
-    valid beginning.
+    The text is parsed as it is, and cleaned only when that fails; either way a text
+    with anything behind its end is no JSON.  A wrapper object gives its list field.
     """
-    valid = F.try_parse_json(json).isNotNull()
-    elements = F.from_json(json, "array<string>")
-    for field in WRAPPER_FIELDS:
-        elements = F.coalesce(elements, F.from_json(F.get_json_object(json, f"$.{field}"), "array<string>"))
-    return F.when(valid, elements)
-
-
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """Each response with its list ``items`` (NULL when unreadable) and ``truncated``."""
-    rows = responses.withColumn("json", json_part(F.col("text")))
-    items = F.coalesce(_items(F.col("json")), _items(cleaned(F.col("json"))))
-    return rows.select(*responses.columns, "json", items.alias("items"), is_truncated(F.col("text")).alias("truncated"))
+    json = responses.withColumn("json", json_part(F.col("text")))
+    tree = json.withColumn(
+        "tree", F.coalesce(F.try_parse_json("json"), F.try_parse_json(cleaned(F.col("json"))))
+    )
+    lists = [F.try_variant_get("tree", path, "array<variant>") for path in ("$", *(f"$.{f}" for f in WRAPPER_FIELDS))]
+    return tree.select(
+        *responses.columns, "json", F.coalesce(*lists).alias("items"), is_truncated(F.col("json")).alias("truncated")
+    )
 
 
 def response_errors(parsed: DataFrame) -> DataFrame:
@@ -73,10 +67,11 @@ def response_errors(parsed: DataFrame) -> DataFrame:
 
 
 def _objects(parsed: DataFrame, schema: str) -> DataFrame:
-    exploded = parsed.where(F.col("items").isNotNull()).select("batch_id", F.posexplode("items").alias("position", "item"))
-    return exploded.where(F.startswith(F.ltrim("item"), F.lit("{"))).select(
-        "batch_id", "position", F.from_json("item", schema).alias("r")
-    )
+    """Objects among the list elements; other elements are passed over."""
+    items = parsed.select("batch_id", F.posexplode_outer("items").alias("position", "item"))
+    return items.select(
+        "batch_id", "position", F.try_variant_get("item", "$", schema).alias("r")
+    ).where(F.col("r").isNotNull())
 
 
 def relationships(parsed: DataFrame) -> DataFrame:
@@ -97,7 +92,9 @@ def column_descriptions(parsed: DataFrame) -> DataFrame:
     return _objects(parsed, DESCRIPTION).select(
         "batch_id", "position",
         *[F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in ("table", "column", "description", "data_type")],
-        F.coalesce("r.domain_terms", F.array().cast("array<string>")).alias("domain_terms"),
+        F.coalesce(
+            F.try_variant_get("r.domain_terms", "$", "array<string>"), F.array().cast("array<string>")
+        ).alias("domain_terms"),
     )
 
 

@@ -10,9 +10,9 @@ k_ts     dates and timestamps
 k_txt    everything else; long texts by digest (see ``functions.text``)
 =======  ==================================================================
 
-A row whose four keys are NULL counts the NULLs of its column.  ``long_len``, ``k_low``,
-``k_trim`` and ``k_norm`` are filled for long texts only, whose forms cannot be worked
-out from the digest later on.
+A row whose four keys are NULL counts the NULLs of its column.  ``long`` is filled for
+long texts only and holds what cannot be worked out from the digest later on: length,
+and the keys of the text in lower case, trimmed, and normalised.
 """
 
 from __future__ import annotations
@@ -24,86 +24,79 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieweave.functions.text import is_long, normalised, text_key
+from tieweave.functions.text import (
+    LONG_TEXT,
+    is_long,
+    normalised,
+    sql_normalised,
+    sql_text_key,
+    text_key,
+)
 from tieweave.session import materialize
 from tieweave.sources.catalog import Catalog
 
 VALUE_KEYS = ("k_num", "k_dbl", "k_ts", "k_txt")
-LONG_FORMS = ("long_len", "k_low", "k_trim", "k_norm")
+LONG_TYPE = "struct<len:int,low:string,trim:string,norm:string>"
 KEY_TYPES = {
-    "k_num": "bigint", "k_dbl": "double", "k_ts": "timestamp_ntz", "k_txt": "string",
-    "long_len": "int", "k_low": "string", "k_trim": "string", "k_norm": "string",
+    "k_num": "bigint", "k_dbl": "double", "k_ts": "timestamp_ntz", "k_txt": "string", "long": LONG_TYPE,
 }
 
 # Whole doubles below this magnitude are bigints without loss.
-_BIGINT_LIMIT = float(2**63)
+_BIGINT_LIMIT = "9223372036854775808D"
 
 # Tables whose scans share one aggregation; keeps plans small on large catalogues.
 TABLES_PER_PLAN = 16
 
 
-def _keys(value: Column, dtype: T.DataType) -> dict[str, Column]:
-    """Typed keys of one value."""
+def _keys(value: str, dtype: T.DataType) -> dict[str, str]:
+    """Typed keys of one value, as SQL expressions.
+
+    Expressions are texts here, because a wide catalogue has thousands of them and a
+    text crosses to the JVM in one call.
+    """
     if isinstance(dtype, (T.BooleanType, T.IntegralType)):
-        return {"k_num": value.cast("bigint")}
-    if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
-        v = value.cast("double")
-        whole = (F.abs(v) < _BIGINT_LIMIT) & (F.floor(v) == v)
-        return {
-            "k_num": F.when(whole, v.try_cast("bigint")),
-            "k_dbl": F.when(~whole, v),
-        }
+        return {"k_num": f"CAST({value} AS BIGINT)"}
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        v = f"CAST({value} AS DOUBLE)"
+        whole = f"(abs({v}) < {_BIGINT_LIMIT} AND floor({v}) = {v})"
+        return {"k_num": f"if({whole}, try_cast({v} AS BIGINT), NULL)", "k_dbl": f"if({whole}, NULL, {v})"}
     if isinstance(dtype, T.DecimalType):
-        integer = F.when(F.floor(value) == value, value.try_cast("bigint"))
-        as_double = value.cast("double")
-        held = as_double.try_cast(dtype) == value
+        integer = f"if(floor({value}) = {value}, try_cast({value} AS BIGINT), NULL)"
+        v = f"CAST({value} AS DOUBLE)"
+        held = f"coalesce(try_cast({v} AS {dtype.simpleString()}) = {value}, false)"
+        digits = f"regexp_replace(regexp_replace(CAST({value} AS STRING), r'(\\.\\d*?)0+$', '$1'), r'\\.$', '')"
         return {
             "k_num": integer,
-            "k_dbl": F.when(integer.isNull() & held, as_double),
-            "k_txt": F.when(
-                integer.isNull() & ~F.coalesce(held, F.lit(False)),
-                F.regexp_replace(
-                    F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""
-                ),
-            ),
+            "k_dbl": f"if({integer} IS NULL AND {held}, {v}, NULL)",
+            "k_txt": f"if({integer} IS NULL AND NOT {held}, {digits}, NULL)",
         }
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return {"k_ts": value.cast("timestamp_ntz")}
+        return {"k_ts": f"CAST({value} AS TIMESTAMP_NTZ)"}
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        long = is_long(value)
-        norm = normalised(value)
+        forms = (
+            f"'len', length(rtrim({value})), 'low', {sql_text_key(f'lower({value})')}, "
+            f"'trim', {sql_text_key(f'trim({value})')}, 'norm', {sql_text_key(sql_normalised(value))}"
+        )
         return {
-            "k_txt": text_key(value),
-            "long_len": F.when(long, F.length(F.rtrim(value))),
-            "k_low": F.when(long, text_key(F.lower(value))),
-            "k_trim": F.when(long, text_key(F.trim(value))),
-            "k_norm": F.when(long, text_key(norm)),
+            "k_txt": sql_text_key(value),
+            "long": f"if(length({value}) > {LONG_TEXT}, named_struct({forms}), NULL)",
         }
     if isinstance(dtype, T.BinaryType):
-        return {"k_txt": text_key(F.hex(value))}
+        return {"k_txt": sql_text_key(f"hex({value})")}
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return {"k_txt": text_key(F.to_json(value))}
-    return {"k_txt": text_key(value.cast("string"))}
-
-
-def _key_struct(col_id: int, name: str, dtype: T.DataType) -> Column:
-    keys = _keys(F.col(f"`{name}`"), dtype)
-    fields = [F.lit(col_id).alias("col_id")]
-    for key in VALUE_KEYS + LONG_FORMS:
-        fields.append(keys.get(key, F.lit(None)).cast(KEY_TYPES[key]).alias(key))
-    return F.struct(*fields)
+        return {"k_txt": sql_text_key(f"to_json({value})")}
+    return {"k_txt": sql_text_key(f"CAST({value} AS STRING)")}
 
 
 def _exploded(df: DataFrame, columns: list[dict]) -> DataFrame:
     """One row per (row, column) of a table; only the listed columns are read."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    structs = df.select(
-        *[
-            _key_struct(c["col_id"], c["column_name"], types[c["column_name"]]).alias(f"c{c['col_id']}")
-            for c in columns
-        ]
-    )
-    return structs.select(F.inline(F.array(*structs.columns)))
+    structs = []
+    for c in columns:
+        keys = _keys(f"`{c['column_name']}`", types[c["column_name"]])
+        fields = "".join(f", '{k}', CAST({keys.get(k, 'NULL')} AS {t})" for k, t in KEY_TYPES.items())
+        structs.append(f"named_struct('col_id', {c['col_id']}{fields})")
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def value_counts(
@@ -129,7 +122,7 @@ def value_counts(
     batches = [scans[i : i + TABLES_PER_PLAN] for i in range(0, len(scans), TABLES_PER_PLAN)]
     counted = [
         reduce(DataFrame.unionAll, batch)
-        .groupBy("col_id", *VALUE_KEYS, *LONG_FORMS)
+        .groupBy("col_id", *KEY_TYPES)
         .agg(F.count(F.lit(1)).alias("cnt"))
         for batch in batches
     ]
@@ -146,20 +139,20 @@ def has_value() -> Column:
 
 
 def lower_key() -> Column:
-    return F.coalesce("k_low", text_key(F.lower("k_txt")))
+    return F.coalesce("long.low", text_key(F.lower("k_txt")))
 
 
 def trim_key() -> Column:
-    return F.coalesce("k_trim", text_key(F.trim("k_txt")))
+    return F.coalesce("long.trim", text_key(F.trim("k_txt")))
 
 
 def norm_key() -> Column:
-    return F.coalesce("k_norm", text_key(normalised(F.col("k_txt"))))
+    return F.coalesce("long.norm", text_key(normalised(F.col("k_txt"))))
 
 
 def text_length() -> Column:
     """Length without trailing blanks."""
-    return F.coalesce("long_len", F.length(F.rtrim("k_txt")))
+    return F.coalesce("long.len", F.length(F.rtrim("k_txt")))
 
 
 def value_order() -> list[Column]:
@@ -181,23 +174,25 @@ def rank_values(rows: DataFrame, groups: tuple[str, ...], order: list[Column], l
 def restore_long_texts(selection: DataFrame, catalog: Catalog) -> DataFrame:
     """Add ``value_str``: the text of each selected value, long ones read back whole.
 
-    ``selection`` is small (some values per column) and written first, so that its
+    ``selection`` has ``col_id``, ``k_txt`` and ``is_long``; it is small (some values per
+    column) and written first, so that its
     measured size decides the join; when it holds no long text, Spark finds the join
     empty at run time and skips the scan.  Texts are compared by digest and made
     distinct before the shuffle.
     """
     chosen = materialize(selection, "selection")
-    wanted = chosen.where(F.col("long_len").isNotNull()).select("col_id", "k_txt").distinct()
+    wanted = chosen.where(F.col("is_long")).select("col_id", "k_txt").distinct()
     scans = []
+    rows = catalog.column_rows()
     for table_key in sorted(catalog.tables):
-        df = catalog.tables[table_key]
         texts = [
-            F.struct(F.lit(c["col_id"]).alias("col_id"), F.col(f"`{c['column_name']}`").cast("string").alias("value_str"))
-            for c in catalog.column_rows()
+            f"named_struct('col_id', {c['col_id']}, 'value_str', CAST(`{c['column_name']}` AS STRING))"
+            for c in rows
             if c["table_key"] == table_key and c["family"] == "string"
         ]
         if texts:
-            scans.append(df.select(F.inline(F.array(*texts))).where(is_long(F.col("value_str"))))
+            scan = catalog.tables[table_key].selectExpr(f"inline(array({', '.join(texts)}))")
+            scans.append(scan.where(is_long(F.col("value_str"))))
     if not scans:
         return chosen.withColumn("value_str", F.col("k_txt"))
     found = (
