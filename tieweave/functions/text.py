@@ -12,6 +12,9 @@ DIGEST_PREFIX = "sha256:"
 # Unicode blanks plus the four separators that Java leaves out of \s.
 _BLANK = r"[\s\x1c-\x1f]"
 
+# The same as a list of characters, for trimming without a regular expression.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 # Shapes that mark a value as an identifier.
 IDENTIFIER_PATTERNS = (
     r"^[A-Z0-9]{8,}$",
@@ -36,18 +39,22 @@ def text_key(text: Column) -> Column:
     return F.when(is_long(text), F.concat(F.lit(DIGEST_PREFIX), F.sha2(text, 256))).otherwise(text)
 
 
+def sql_digest(text: str) -> str:
+    return f"concat('{DIGEST_PREFIX}', sha2({text}, 256))"
+
+
 def sql_text_key(text: str) -> str:
     """:func:`text_key` as a SQL expression."""
-    return f"if(length({text}) > {LONG_TEXT}, concat('{DIGEST_PREFIX}', sha2({text}, 256)), {text})"
+    return f"if(length({text}) > {LONG_TEXT}, {sql_digest(text)}, {text})"
 
 
-def sql_normalised(text: str) -> str:
-    """:func:`normalised` as a SQL expression."""
-    return f"regexp_replace(lower({text}), r'(?U)^{_BLANK}+|{_BLANK}+$', '')"
+def sql_strip_blanks(text: str) -> str:
+    codes = "".join(f"\\u{ord(c):04x}" for c in BLANKS)
+    return f"btrim({text}, '{codes}')"
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalised(text: Column) -> Column:

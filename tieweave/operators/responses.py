@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tieweave.functions.text import strip_blanks
 from tieweave.operators.values import rank_values
 
 # Field names under which a wrapper object may hold the list.
@@ -21,14 +22,13 @@ DESCRIPTION = "struct<table:string,column:string,description:string,data_type:st
 
 _FENCE = r"```(?:json)?\s*\n([\s\S]*?)\n```"
 _LIST = r"(?s)\[.*\]"
-_TEXT_ENDS = r"(?U)^\s+|\s+$"
 
 
 def json_part(text: Column) -> Column:
     """The JSON of a response: out of its code fence, from the first ``[`` to the last ``]``."""
     body = F.coalesce(F.nullif(F.regexp_extract(text, _FENCE, 1), F.lit("")), text)
     return F.coalesce(
-        F.nullif(F.regexp_extract(body, _LIST, 0), F.lit("")), F.regexp_replace(body, _TEXT_ENDS, "")
+        F.nullif(F.regexp_extract(body, _LIST, 0), F.lit("")), strip_blanks(body)
     )
 
 

@@ -28,7 +28,8 @@ from tieweave.functions.text import (
     LONG_TEXT,
     is_long,
     normalised,
-    sql_normalised,
+    sql_digest,
+    sql_strip_blanks,
     sql_text_key,
     text_key,
 )
@@ -73,9 +74,14 @@ def _keys(value: str, dtype: T.DataType) -> dict[str, str]:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return {"k_ts": f"CAST({value} AS TIMESTAMP_NTZ)"}
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
+        # Lower case never shortens a text, so the form of a long text is long as well.
+        # No lambda functions here: they would take the scan out of generated code.
+        stripped = sql_strip_blanks(value)
+        norm = sql_strip_blanks(f"lower({value})")
         forms = (
-            f"'len', length(rtrim({value})), 'low', {sql_text_key(f'lower({value})')}, "
-            f"'trim', {sql_text_key(f'trim({value})')}, 'norm', {sql_text_key(sql_normalised(value))}"
+            f"'len', length(rtrim({value})), 'low', {sql_digest(f'lower({value})')}, "
+            f"'trim', {sql_text_key(f'trim({value})')}, "
+            f"'norm', if(length({stripped}) > {LONG_TEXT}, {sql_digest(norm)}, {sql_text_key(norm)})"
         )
         return {
             "k_txt": sql_text_key(value),
