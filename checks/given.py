@@ -86,10 +86,10 @@ _EDGE_ID = "'g' || c_custkey || ':' || p_brand || '/' || p_type || '/' || s_nati
 
 STORED_EDGES = f"""
 SELECT {_EDGE_ID} AS id, 'g' || c_custkey AS graph_id, {_SIGNATURE},
-       min(CASE WHEN l_linestatus = 'F' THEN 'confirmed' ELSE 'suggested' END) AS edge_type,
+       CASE WHEN count(CASE WHEN l_linestatus = 'F' THEN 1 END) > 0 THEN 'confirmed' ELSE 'suggested' END AS edge_type,
        round(max(l_quantity) / 50.0, 4) AS confidence,
        'one-to-many' AS rel_type,
-       min(l_returnflag) AS annotation,
+       'lines: ' || count(*) AS annotation,
        CASE WHEN max(l_tax) > 0.04 THEN 'user' ELSE 'ai' END AS origin,
        count(DISTINCT CASE WHEN l_returnflag = 'R' THEN c_nationkey END) AS confirmed_by_count
 FROM {_LINES}
@@ -138,7 +138,7 @@ _EVENT_EDGE = f"""
 REVIEW_SUGGESTED = f"""
 SELECT source_key, source_column, target_key, target_column,
        round(max(value) / 50.0, 4) AS confidence,
-       CASE WHEN min(event_type) = 'click' THEN 'ai' ELSE 'pipeline' END AS origin
+       CASE WHEN count(CASE WHEN event_type = 'click' THEN 1 END) > 0 THEN 'ai' ELSE 'pipeline' END AS origin
 FROM (SELECT {_EVENT_EDGE}, value, event_type FROM events) e
 GROUP BY source_key, source_column, target_key, target_column
 """
@@ -189,7 +189,9 @@ def _drift_tables(condition: str) -> str:
 def _drift_columns(condition: str) -> str:
     return f"""
 SELECT {_DRIFT_TABLE} AS table_key, 'S' || l_suppkey AS column_name,
-       max(l_returnflag) AS data_type, max(l_linestatus) = 'O' AS is_nullable
+       CASE max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END)
+            WHEN 1 THEN 'int' WHEN 2 THEN 'bigint' ELSE 'string' END AS data_type,
+       count(CASE WHEN l_linestatus = 'O' THEN 1 END) > 0 AS is_nullable
 FROM lineitem WHERE {condition} GROUP BY 1, 2
 """
 
