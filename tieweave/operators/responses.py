@@ -43,6 +43,17 @@ def cleaned(json: Column) -> Column:
     return F.regexp_replace(plain, r",\s*([}\]])", "$1")
 
 
+def _tree(json: Column) -> Column:
+    """The JSON as a variant; NULL when it is none or when anything follows its end.
+
+    The parser stops at the end of the first value.  Put into an object and into a list,
+    a text with a tail breaks at least one of the two.
+    """
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit("}")))
+    in_list = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
+    return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Each response with its list ``items`` (NULL when unreadable) and ``truncated``.
 
@@ -51,7 +62,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     """
     json = responses.withColumn("json", json_part(F.col("text")))
     tree = json.withColumn(
-        "tree", F.coalesce(F.try_parse_json("json"), F.try_parse_json(cleaned(F.col("json"))))
+        "tree", F.coalesce(_tree(F.col("json")), _tree(cleaned(F.col("json"))))
     )
     lists = [F.try_variant_get("tree", path, "array<variant>") for path in ("$", *(f"$.{f}" for f in WRAPPER_FIELDS))]
     return tree.select(
