@@ -732,8 +732,8 @@ def recorded_confirmations() -> str:
 
 
 @oracle
-def edge_confirmers() -> str:
-    return f"{confirmed_store()} SELECT id AS edge_id, session_id FROM sessions"
+def graph_confirmers() -> str:
+    return f"{confirmed_store()} SELECT id AS edge_id, session_id FROM sessions JOIN edges USING (id) WHERE graph_id = 'g7'"
 
 
 @oracle

@@ -100,13 +100,13 @@ def table_profile(spark, sf_dir):
 @query
 def column_profile(spark, sf_dir):
     c = given.catalog(spark, sf_dir)
-    return profiles.column_profiles(value_counts(c), c.columns_frame()).select(*PROFILE_COLUMNS)
+    return profiles.column_profiles(value_counts(c, text_forms=False), c.columns_frame()).select(*PROFILE_COLUMNS)
 
 
 @query
 def top_values(spark, sf_dir):
     c = given.catalog(spark, sf_dir)
-    return profiles.top_values(value_counts(c), c.columns_frame(), c).select(
+    return profiles.top_values(value_counts(c, text_forms=False), c.columns_frame(), c).select(
         "table_name", "column_name", "rank", "cnt", "value_num", "value_ts", "value_str"
     )
 
@@ -131,7 +131,7 @@ def sample_values(spark, sf_dir):
     c = given.catalog(spark, sf_dir)
     ids = [r["col_id"] for r in c.column_rows() if r["family"] == "string"]
     columns = c.columns_frame()
-    rows = strings.sample_values(value_counts(c, ids), columns, c)
+    rows = strings.sample_values(value_counts(c, ids, text_forms=False), columns, c)
     return columns.join(rows, "col_id").select("table_key", "column_name", "rank", "sample")
 
 
@@ -152,7 +152,7 @@ def _with_counts(c, found: DataFrame) -> DataFrame:
     found = materialize(found, "candidates")
     used = candidate_columns(found)
     columns = c.columns_frame().where(F.col("col_id").isin(used))
-    counts = profiles.column_profiles(value_counts(c, used), columns).select("col_id", "distinct_count")
+    counts = profiles.column_profiles(value_counts(c, used, text_forms=False), columns).select("col_id", "distinct_count")
     for role in ("source", "target"):
         found = found.join(
             counts.select(F.col("col_id").alias(f"{role}_col_id"), F.col("distinct_count").alias(f"{role}_distinct")),
@@ -424,9 +424,10 @@ def recorded_confirmations(spark, sf_dir):
 
 
 @query
-def edge_confirmers(spark, sf_dir):
-    return stored_graphs.confirmers_after(
-        *[given.derived(spark, sf_dir, sql) for sql in (given.STORED_EDGES, given.CONFIRMERS, given.CONFIRMATION_LOG)]
+def graph_confirmers(spark, sf_dir):
+    return stored_graphs.graph_confirmers(
+        *[given.derived(spark, sf_dir, sql) for sql in (given.STORED_EDGES, given.CONFIRMERS, given.CONFIRMATION_LOG)],
+        ONE_GRAPH,
     )
 
 

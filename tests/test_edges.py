@@ -117,7 +117,9 @@ def test_promotion(spark):
     )
     after = stored_graphs.record_confirmations(rows, own, log)
     assert rows_of(after, "id", "confirmed_by_count") == [("e1", 2), ("e2", 3), ("e3", 0), ("e4", 4)]
-    twice = stored_graphs.record_confirmations(after, stored_graphs.confirmers_after(rows, own, log), log)
+    assert rows_of(stored_graphs.graph_confirmers(rows, own, log, "g2"), "*") == [("e2", "s1"), ("e2", "s2"), ("e2", "s9")]
+    held = stored_graphs.graph_confirmers(rows, own, log, "g1").unionByName(stored_graphs.graph_confirmers(rows, own, log, "g2"))
+    twice = stored_graphs.record_confirmations(after, held, log)
     assert rows_of(twice, "id", "confirmed_by_count") == rows_of(after, "id", "confirmed_by_count")
     assert {(r.target_table_key, r.confirmations) for r in stored_graphs.confirmation_counts(after).collect()} == {("b", 3), ("c", 4)}
     assert [r.id for r in stored_graphs.promoted_edges(after, "g1").collect()] == ["e4"]

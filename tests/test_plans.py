@@ -54,7 +54,7 @@ def test_no_cross_joins_for_pairs(catalog):
 
 @needs_data
 @pytest.mark.parametrize(
-    "name", ["reviewed_confirmed", "promoted_edges", "drift_tables", "merged_edges", "edge_confirmers", "pruned_history"]
+    "name", ["reviewed_confirmed", "promoted_edges", "drift_tables", "merged_edges", "graph_confirmers", "pruned_history"]
 )
 def test_no_cross_joins_in_queries(spark, name):
     text = plan(QUERIES[name](spark, SMALL))

@@ -172,12 +172,16 @@ def record_confirmations(edges: DataFrame, confirmers: DataFrame, log: DataFrame
     )
 
 
-def confirmers_after(edges: DataFrame, confirmers: DataFrame, log: DataFrame) -> DataFrame:
-    """Sessions behind each edge after the log, one row each."""
-    added = edges.select(F.col("id").alias("edge_id"), *SIGNATURE).join(
-        log.select(*SIGNATURE, "session_id").distinct(), list(SIGNATURE)
-    )
-    return confirmers.select("edge_id", "session_id").unionByName(added.select("edge_id", "session_id")).distinct()
+def graph_confirmers(edges: DataFrame, confirmers: DataFrame, log: DataFrame, graph_id: str) -> DataFrame:
+    """Sessions behind each edge of one graph after the log, one row each.
+
+    A graph holds a signature once, so the rows are those of the log at most; over all
+    graphs they would be every edge times every session of a signature.
+    """
+    own_edges = of_graph(edges, graph_id).select(F.col("id").alias("edge_id"), *SIGNATURE)
+    had = confirmers.join(own_edges.select("edge_id"), "edge_id", "left_semi").select("edge_id", "session_id")
+    added = log.select(*SIGNATURE, "session_id").distinct().join(own_edges, list(SIGNATURE))
+    return had.unionByName(added.select("edge_id", "session_id")).distinct()
 
 
 def confirmation_counts(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieweave.operators.values import rank_values
@@ -44,11 +44,13 @@ def bounded_read(rows: DataFrame, order: tuple[str, ...], limit: int = MAX_ROWS)
     learn whether there are more.
     """
     taken = rows.orderBy(*order).limit(limit + 1)
-    total = taken.agg(F.count(F.lit(1)).alias("fetched"))
-    shown = taken.orderBy(*order).limit(limit)
-    facts = total.select(
-        (F.col("fetched") > limit).alias("truncated"),
-        F.least(F.col("fetched"), F.lit(limit)).alias("returned_rows"),
-        F.lit(0).alias("one"),
+    # At most limit + 1 rows meet in this window.
+    fetched = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    return (
+        taken.withColumn("fetched", fetched)
+        .withColumn("truncated", F.col("fetched") > limit)
+        .withColumn("returned_rows", F.least(F.col("fetched"), F.lit(limit)))
+        .drop("fetched")
+        .orderBy(*order)
+        .limit(limit)
     )
-    return shown.withColumn("one", F.lit(0)).join(facts, "one").drop("one")

@@ -49,7 +49,23 @@ _BIGINT_LIMIT = "9223372036854775808D"
 TABLES_PER_PLAN = 16
 
 
-def _keys(value: str, dtype: T.DataType) -> dict[str, str]:
+def _long_forms(value: str, with_forms: bool) -> str:
+    """Struct of a long text: its length and, if asked for, the keys of its forms.
+
+    Lower case never shortens a text, so the form of a long text is long as well.  No
+    lambda functions here: they would take the scan out of generated code.
+    """
+    low = trim = norm = "CAST(NULL AS STRING)"
+    if with_forms:
+        stripped = sql_strip_blanks(value)
+        plain = sql_strip_blanks(f"lower({value})")
+        low = sql_digest(f"lower({value})")
+        trim = sql_text_key(f"trim({value})")
+        norm = f"if(length({stripped}) > {LONG_TEXT}, {sql_digest(plain)}, {sql_text_key(plain)})"
+    return f"named_struct('len', length(rtrim({value})), 'low', {low}, 'trim', {trim}, 'norm', {norm})"
+
+
+def _keys(value: str, dtype: T.DataType, with_forms: bool) -> dict[str, str]:
     """Typed keys of one value, as SQL expressions.
 
     Expressions are texts here, because a wide catalogue has thousands of them and a
@@ -74,18 +90,9 @@ def _keys(value: str, dtype: T.DataType) -> dict[str, str]:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return {"k_ts": f"CAST({value} AS TIMESTAMP_NTZ)"}
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        # Lower case never shortens a text, so the form of a long text is long as well.
-        # No lambda functions here: they would take the scan out of generated code.
-        stripped = sql_strip_blanks(value)
-        norm = sql_strip_blanks(f"lower({value})")
-        forms = (
-            f"'len', length(rtrim({value})), 'low', {sql_digest(f'lower({value})')}, "
-            f"'trim', {sql_text_key(f'trim({value})')}, "
-            f"'norm', if(length({stripped}) > {LONG_TEXT}, {sql_digest(norm)}, {sql_text_key(norm)})"
-        )
         return {
             "k_txt": sql_text_key(value),
-            "long": f"if(length({value}) > {LONG_TEXT}, named_struct({forms}), NULL)",
+            "long": f"if(length({value}) > {LONG_TEXT}, {_long_forms(value, with_forms)}, NULL)",
         }
     if isinstance(dtype, T.BinaryType):
         return {"k_txt": sql_text_key(f"hex({value})")}
@@ -94,12 +101,12 @@ def _keys(value: str, dtype: T.DataType) -> dict[str, str]:
     return {"k_txt": sql_text_key(f"CAST({value} AS STRING)")}
 
 
-def _exploded(df: DataFrame, columns: list[dict]) -> DataFrame:
+def _exploded(df: DataFrame, columns: list[dict], with_forms: bool) -> DataFrame:
     """One row per (row, column) of a table; only the listed columns are read."""
     types = {f.name: f.dataType for f in df.schema.fields}
     structs = []
     for c in columns:
-        keys = _keys(f"`{c['column_name']}`", types[c["column_name"]])
+        keys = _keys(f"`{c['column_name']}`", types[c["column_name"]], with_forms)
         fields = "".join(f", '{k}', CAST({keys.get(k, 'NULL')} AS {t})" for k, t in KEY_TYPES.items())
         structs.append(f"named_struct('col_id', {c['col_id']}{fields})")
     return df.selectExpr(f"inline(array({', '.join(structs)}))")
@@ -109,11 +116,14 @@ def value_counts(
     catalog: Catalog,
     col_ids: Iterable[int] | None = None,
     sampled: dict[str, DataFrame] | None = None,
+    text_forms: bool = True,
 ) -> DataFrame:
     """The value relation of a catalogue, or of some of its columns.
 
     The count is combined on the map side, so a value that fills a third of a table
-    travels as one row per task.  ``sampled`` replaces the scan of large tables.
+    travels as one row per task.  ``sampled`` replaces the scan of large tables.  Without
+    ``text_forms`` the forms of long texts are left out, which string profiles and
+    normalised overlaps need but column profiles and top values do not.
     """
     wanted = None if col_ids is None else set(col_ids)
     by_table: dict[str, list[dict]] = {}
@@ -121,7 +131,7 @@ def value_counts(
         if wanted is None or c["col_id"] in wanted:
             by_table.setdefault(c["table_key"], []).append(c)
     frames = {**catalog.tables, **(sampled or {})}
-    scans = [_exploded(frames[key], columns) for key, columns in by_table.items()]
+    scans = [_exploded(frames[key], columns, text_forms) for key, columns in by_table.items()]
     if not scans:
         schema = ", ".join(f"{k} {t}" for k, t in KEY_TYPES.items())
         return catalog.spark.createDataFrame([], f"col_id int, {schema}, cnt long")
@@ -181,30 +191,29 @@ def restore_long_texts(selection: DataFrame, catalog: Catalog) -> DataFrame:
     """Add ``value_str``: the text of each selected value, long ones read back whole.
 
     ``selection`` has ``col_id``, ``k_txt`` and ``is_long``; it is small (some values per
-    column) and written first, so that its
-    measured size decides the join; when it holds no long text, Spark finds the join
-    empty at run time and skips the scan.  Texts are compared by digest and made
-    distinct before the shuffle.
+    column) and written first.  Only columns with a selected long text are scanned again,
+    so nothing is when there is none.  Texts are compared by digest and made distinct
+    before the shuffle; the measured size of the selection decides how it is joined.
     """
     chosen = materialize(selection, "selection")
-    wanted = chosen.where(F.col("is_long")).select("col_id", "k_txt").distinct()
-    scans = []
-    rows = catalog.column_rows()
-    for table_key in sorted(catalog.tables):
-        texts = [
-            f"named_struct('col_id', {c['col_id']}, 'value_str', CAST(`{c['column_name']}` AS STRING))"
-            for c in rows
-            if c["table_key"] == table_key and c["family"] == "string"
-        ]
-        if texts:
-            scan = catalog.tables[table_key].selectExpr(f"inline(array({', '.join(texts)}))")
-            scans.append(scan.where(is_long(F.col("value_str"))))
-    if not scans:
+    long = chosen.where("is_long").select("col_id", "k_txt").distinct()
+    # One number per column at most.
+    ids = {r["col_id"] for r in long.select("col_id").distinct().toLocalIterator()}
+    by_table: dict[str, list[str]] = {}
+    for c in catalog.column_rows():
+        if c["col_id"] in ids:
+            text = f"named_struct('col_id', {c['col_id']}, 'value_str', CAST(`{c['column_name']}` AS STRING))"
+            by_table.setdefault(c["table_key"], []).append(text)
+    if not by_table:
         return chosen.withColumn("value_str", F.col("k_txt"))
+    scans = [
+        catalog.tables[table_key].selectExpr(f"inline(array({', '.join(texts)}))").where(is_long(F.col("value_str")))
+        for table_key, texts in by_table.items()
+    ]
     found = (
         reduce(DataFrame.unionAll, scans)
         .withColumn("k_txt", text_key(F.col("value_str")))
-        .join(wanted, ["col_id", "k_txt"], "left_semi")
+        .join(long, ["col_id", "k_txt"], "left_semi")
         .distinct()
     )
     return (

@@ -21,6 +21,9 @@ def build_session(app: str = "tieweave", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         **conf,
     }
+    if master and not master.startswith("local"):
+        # AQE merges partitions that turn out small, but never splits an aggregation's.
+        settings.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "16384")
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
