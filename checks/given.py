@@ -91,7 +91,8 @@ SELECT {_EDGE_ID} AS id, 'g' || c_custkey AS graph_id, {_SIGNATURE},
        'one-to-many' AS rel_type,
        'lines: ' || count(*) AS annotation,
        CASE WHEN max(l_tax) > 0.04 THEN 'user' ELSE 'ai' END AS origin,
-       count(DISTINCT CASE WHEN l_returnflag = 'R' THEN c_nationkey END) AS confirmed_by_count
+       CASE WHEN count(CASE WHEN l_returnflag = 'R' THEN 1 END) > 0 THEN CAST(1 AS BIGINT)
+            ELSE CAST(0 AS BIGINT) END AS confirmed_by_count
 FROM {_LINES}
 GROUP BY c_custkey, p_brand, p_type, s_nationkey
 """

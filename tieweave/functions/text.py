@@ -106,5 +106,6 @@ def node_parts(key: Column) -> Column:
     )
 
 
-def edge_key(*parts: Column) -> Column:
+def edge_key(*parts: Column | str) -> Column:
+    """The parts of an edge as one text."""
     return F.concat_ws("|", *parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieweave.config import Config
-from tieweave.functions.text import node_parts
+from tieweave.functions.text import edge_key, node_parts
 from tieweave.operators.edges import EDGE_KEY
 from tieweave.operators.values import rank_values
 
@@ -88,7 +88,7 @@ def stored_nodes(nodes: DataFrame, graph_id: str, descriptions: DataFrame | None
 def stored_edges(confirmed: DataFrame, graph_id: str) -> DataFrame:
     """Confirmed edges of the current graph as rows of the store."""
     return confirmed.select(
-        F.concat_ws(":", F.lit(graph_id), F.concat_ws("|", *EDGE_KEY)).alias("id"),
+        F.concat_ws(":", F.lit(graph_id), edge_key(*EDGE_KEY)).alias("id"),
         F.lit(graph_id).alias("graph_id"),
         F.col("source_key").alias("source_table_key"),
         "source_column",
