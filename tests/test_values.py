@@ -142,3 +142,18 @@ def test_samples_are_whole_and_distinct(spark):
     found = [r["sample"] for r in sample_values(values, columns, c).orderBy("rank").collect()]
     assert len(found) == len(set(found)) == min(20, len(set(texts)))
     assert set(found) <= set(texts)
+
+
+def test_hot_value_is_one_row(spark):
+    """A third of all rows share one value, number or long text."""
+    hot = "hot text " * 50
+    frame = spark.range(9000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("n"),
+        F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("id").cast("string")).alias("s"),
+    )
+    c, values, columns = profiled(spark, frame)
+    best = {r.column_name: r for r in top_values(values, columns, c, 1).collect()}
+    assert (best["n"].value_long, best["n"].cnt) == (-1, 3000)
+    assert (best["s"].value_str, best["s"].cnt) == (hot, 3000)
+    rows = {r.column_name: r for r in column_profiles(values, columns).collect()}
+    assert rows["n"].distinct_count == rows["s"].distinct_count == 6001
