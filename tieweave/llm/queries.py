@@ -41,6 +41,6 @@ def op5_simhash_near_dedup(spark, sf_dir):
 @query
 def op10_curriculum_mix(spark, sf_dir):
     rows = mixing.mix(table(spark, sf_dir, "documents"))
-    rows = rows.withColumn("first_position", F.col("positions")[0]["position"])
+    rows = rows.withColumn("first_position", F.get("positions", F.lit(0))["position"])
     ordered = mixing.in_training_order(rows, "first_position", "order_key")
     return ordered.select("doc_id", "size", "source_size", "target", "taken")
