@@ -12,10 +12,12 @@ import re
 
 import numpy as np
 
-#: A run of blanks with what follows it, up to the next blank.
-PART = re.compile(r" *[^ ]+| +")
-#: Parts a worker keeps; beyond it the table is emptied and filled anew (about 100 MB).
-KEPT_PARTS = 400_000
+#: A run of blanks with what follows it, up to the next blank; of that, letters that ASCII punctuation
+#: follows are a part of their own, as the pre-tokenizer always cuts between the two.
+PART = re.compile(r" *[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+(?=[!-/:-@\[-`{-~])| *[^ ]+| +")
+#: Parts in each of the two generations that a worker keeps (about 250 MB in all); when the younger is
+#: full, the older goes, so parts that are met again stay.
+KEPT_PARTS = 500_000
 
 _encoders: dict[int, "Encoder"] = {}
 
@@ -28,21 +30,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, ``end_id`` last; null counts as empty."""
         parts = [PART.findall(text) if text else [] for text in texts]
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > KEPT_PARTS:
-            self.known = {}
-            new = list(set().union(*parts))
+        if len(self.known) > KEPT_PARTS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = {part for own in parts for part in own if part not in known}
+        new = []
+        for part in missing:
+            if part in older:
+                known[part] = older[part]
+            else:
+                new.append(part)
         for begin in range(0, len(new), 10_000):
             some = new[begin : begin + 10_000]
             for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[part] = np.asarray(found.ids, dtype="<u4").tobytes()
+                known[part] = np.asarray(found.ids, dtype="<u4").tobytes()
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        known = self.known
-        return [b"".join([known[part] for part in own]) + end for own in parts]
+        return [b"".join(map(known.__getitem__, own)) + end for own in parts]
 
 
 def encoder(definition: str) -> Encoder:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tieweave.llm import mixing, packing, simhash, tokens
+from tieweave.llm import language, mixing, packing, simhash, tokens, topk
 from tieweave.llm.common import table
 from tieweave.llm.sql import ORACLE  # noqa: F401 - taken from here by the entry
+from tieweave.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {"pipeline": corpus_pipeline.run}
@@ -23,6 +24,18 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_exact_top_k(spark, sf_dir):
+    # Converted once; each pass of the search reads whole numbers.
+    vectors = materialize(topk.integer_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, capacity=1024, with_ids=False)
