@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tieweave.llm import language, mixing, packing, simhash, tokens, topk
+from tieweave.llm import fingerprints, language, mixing, packing, simhash, tokens, topk
 from tieweave.llm.common import table
 from tieweave.llm.sql import ORACLE  # noqa: F401 - taken from here by the entry
 from tieweave.session import materialize
@@ -51,6 +51,11 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_classes(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+@query
+def op9_multiset_fingerprints(spark, sf_dir):
+    return fingerprints.edited_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_curriculum_mix(spark, sf_dir):
     rows = mixing.mix(table(spark, sf_dir, "documents"))

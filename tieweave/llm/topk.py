@@ -130,7 +130,7 @@ def _kth_scores(vectors: DataFrame, block: Block, k: int) -> np.ndarray:
         for place, at in rows:
             enough[place] = True
             if not found[place]:
-                low.view(np.uint64)[place] += np.uint64(at) * width[place]
+                low.view(np.uint64)[place : place + 1] += np.uint64(at) * width[place]
         found |= ~enough
         done = enough & ~found & (width == 1)
         answer[done] = low[done]
