@@ -56,20 +56,24 @@ def _sketch(hashes: Column) -> Column:
     """The number of hashes, and for each of their 64 bits how many have it, modulo 2^16.
 
     Counter ``16 j + k`` counts bit ``16 j + k``; long ``k`` holds the four with the same ``k``.
-    A step adds four bits at once, without a carry from one counter into the next.
+    A sum adds four bits at once, without a carry from one counter into the next.
     """
-    zero = F.array(*[F.lit(0).cast("long")] * (SKETCH + 1))
     high = F.lit(0x7FFF_7FFF_7FFF_7FFF).cast("long")
     top = F.lit(-0x7FFF_7FFF_7FFF_8000).cast("long")  # the highest bit of each counter
 
-    def added(a: Column, b: Column) -> Column:
-        return (a.bitwiseAND(high) + b).bitwiseXOR(a.bitwiseAND(top))
+    def counted(all_: Column, k: Column) -> Column:
+        def added(total: Column, h: Column) -> Column:
+            bits = F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_COUNTER))
+            return (total.bitwiseAND(high) + bits).bitwiseXOR(total.bitwiseAND(top))
 
-    def step(sums: Column, h: Column) -> Column:
-        bits = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_COUNTER)) for k in range(SKETCH)]
-        return F.array((sums[0] + 1).bitwiseAND(F.lit(_LOW)), *[added(sums[k + 1], b) for k, b in enumerate(bits)])
+        return F.aggregate(all_, F.lit(0).cast("long"), added)
 
-    return F.aggregate(hashes, zero, step)
+    def whole(all_: Column) -> Column:
+        size = F.size(all_).cast("long").bitwiseAND(F.lit(_LOW))
+        return F.concat(F.array(size), F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: counted(all_, k)))
+
+    # As a lambda's argument the hashes are computed once; one plain sum for each long follows.
+    return F.transform(F.array(hashes), whole)[0]
 
 
 def fingerprint(text: Column) -> Column:
