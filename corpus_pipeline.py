@@ -8,17 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieweave.llm import mixing, packing, simhash
+from tieweave.llm import language, mixing, packing, secrets, simhash
+from tieweave.llm.common import pmod_of_id
 from tieweave.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go: without a letter, or in none of the known languages.
+
+    The others keep their rows, with the predicted language in ``lang``.
+    """
+    docs = docs.select(*COLUMNS)
+    judged = language.judge(docs, language.fit(docs, learned=pmod_of_id(4) != 2))
+    return judged.where("NOT rejected").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: five-word shingles, similarity 0.8 or more."""
     return simhash.near_copies_removed(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in it are replaced."""
+    return secrets.redacted(docs.select(*COLUMNS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
@@ -31,7 +47,9 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
     ("simhash_near_dedup", near_dedup),
+    ("secret_scan", redact_secrets),
     ("source_mixing", mix_sources),
     ("packing", pack_windows),
 ]

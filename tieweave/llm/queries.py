@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tieweave.llm import fingerprints, language, mixing, packing, simhash, tokens, topk
+from tieweave.llm import fingerprints, language, mixing, packing, quality, secrets, simhash, tokens, topk, urls
 from tieweave.llm.common import table
 from tieweave.llm.sql import ORACLE  # noqa: F401 - taken from here by the entry
 from tieweave.session import materialize
@@ -51,6 +51,29 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_classes(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+@query
+def op6_url_association_rules(spark, sf_dir):
+    # The pages' documents have labels: toxic or poor ones teach what to block.
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block")
+    )
+    return urls.judge(table(spark, sf_dir, "pages"), labels)
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+        "probability", "secret",
+    )
+
+
 @query
 def op9_multiset_fingerprints(spark, sf_dir):
     return fingerprints.edited_documents(table(spark, sf_dir, "documents"))
