@@ -1,0 +1,139 @@
+import random
+import re
+
+import pytest
+
+from pyspark.sql import functions as F
+
+from .conftest import LANGUAGES, invented
+from tieweave.llm import secrets
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def planted(rng, n):
+    rows, wanted = [], {}
+    for doc_id in range(n):
+        words = invented(rng, 40, LANGUAGES["aa"]).split(" ")
+        kind = doc_id % 6
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        if kind == 0:
+            words[20] = f'token = "{key}"'
+            wanted[doc_id] = key
+        elif kind == 1:
+            words[20] = "".join(rng.choice("0123456789") for _ in range(16))
+        elif kind == 2:
+            words[20] = "thaedingerontheandingeding"
+        elif kind == 3:
+            words[20] = f"commit {key}"
+        rows.append((doc_id, " ".join(words), "aa", "s", None))
+    return rows, wanted
+
+
+def test_candidates_and_places(spark):
+    texts = [
+        'say token = "abc123def456" then x', "éé " + "A" * 20 + " ü " + "b" * 16 + "!", "short", None, "", "0" * 15, "0" * 3000,
+        'password: "päss wort"', "x" * 16, 'a="12345678"b="abcdefgh"',
+    ]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.start, r.value, r.before, r.after) for r in secrets.candidates(frame).collect()}
+    wanted = set()
+    # The same pattern, with a lookbehind Python can read.
+    pattern = r"""(?:(?<=[:=]["'])|(?<=[:=]\s["'])|(?<=[:=]\s\s["']))[^\s"']{8,}(?=["'])|[A-Za-z0-9+/=_\-]{16,}"""
+    for n, text in enumerate(texts):
+        end = 0
+        for m in (matches := list(re.finditer(pattern, text or ""))):
+            following = [x.start() for x in matches if x.start() > m.start()]
+            after = text[m.end() : min(following, default=len(text))]
+            wanted.add((n, m.start(), m[0], text[end : m.start()][-80:], after[:40]))
+            end = m.end()
+    assert found == wanted
+
+
+def test_features(spark):
+    frame = spark.createDataFrame(
+        [(1, "k", 0, "aaBB11--aaBB11--", 'api_key = "', '"'), (1, "k", 40, "thethethethethethe", "see /", "")],
+        "doc_id long, row_key string, start long, value string, before string, after string",
+    )
+    known = spark.createDataFrame([("the",), ("het",), ("eth",)], "gram string")
+    rows = {r.start: r for r in secrets.with_features(frame, known).collect()}
+    first, second = rows[0], rows[40]
+    assert (first.length, first.transitions, first.digits, first.upper, first.symbols) == (16, 7 / 16, 0.25, 0.25, 0.25)
+    assert (first.distinct, first.hexadecimal, first.coverage, first.assigned, first.quoted) == (4 / 16, 0, 0, 1, 1)
+    assert (first.credential_near, first.in_path) == (1, 0)
+    assert (second.coverage, second.in_path, second.assigned, second.credential_near) == (1, 1, 0, 0)
+
+
+def test_dictionary_against_plain_counts(docs, rows):
+    counts = {}
+    for r in rows:
+        for word in re.split("[^a-z]+", (r[1] or "").lower()):
+            if 3 <= len(word) <= 30:
+                for i in range(len(word) - 2):
+                    counts[word[i : i + 3]] = counts.get(word[i : i + 3], 0) + 1
+    least = sum(counts.values()) / 26**3
+    assert {r.gram for r in secrets.dictionary(docs).collect()} == {g for g, n in counts.items() if n > least}
+
+
+def test_planted_secrets_are_found_and_nothing_else(spark):
+    rows, wanted = planted(random.Random(5), 240)
+    found = secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.value) for r in found if r.secret} == set(wanted.items())
+    assert all(rows[r.doc_id][1][r.start : r.start + len(r.value)] == r.value for r in found)
+    assert len(found) > len(wanted)
+
+
+def test_labels_of_people(spark):
+    """The forest follows the labels given, here the opposite of the rule's."""
+    rows, wanted = planted(random.Random(6), 240)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    featured = secrets.with_features(secrets.candidates(frame), secrets.dictionary(frame))
+    labelled = featured.withColumn("label", F.when(F.col("digits") == 1, 1.0).otherwise(0.0))
+    judged = secrets.fit(labelled).judged(featured).collect()
+    assert all(r.secret == r.value.isdigit() for r in judged)
+
+
+def test_redaction(spark):
+    rows, wanted = planted(random.Random(7), 120)
+    rows += [rows[0], rows[0], (900, None, None, None, None), (901, "", None, None, 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("value", F.lit(1)).withColumn("secret", F.lit(2))
+    found = secrets.redacted(frame)
+    assert found.columns == frame.columns
+    texts = {}
+    for r in found.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+        assert r.n_chars in (None, 0, len(r.text or ""))
+    assert len(texts[0]) == 3
+    for doc_id, text, *_ in rows:
+        key = wanted.get(doc_id)
+        assert set(texts[doc_id]) == {text.replace(key, "[SECRET]") if key else text}
+
+
+def test_overlapping_values_are_masked_whole(spark):
+    long = "a1" * 20
+    text = f'token = "{long}" token = "{long[:20]}" ' + "word " * 20
+    rows, _ = planted(random.Random(8), 120)
+    frame = spark.createDataFrame([*rows, (777, text, None, None, None)], SCHEMA)
+    masked = secrets.redacted(frame).where("doc_id = 777").first().text
+    assert masked == 'token = "[SECRET]" token = "[SECRET]" ' + "word " * 20
+
+
+def test_odd_rows(docs, no_docs, clashing):
+    assert secrets.scan(no_docs).collect() == []
+    assert secrets.redacted(no_docs).collect() == []
+    assert secrets.redacted(clashing).count() == docs.count()
+    # Labels of one kind: no forest, so every candidate stays a secret.
+    one = secrets.scan(docs.sparkSession.createDataFrame([(1, 'token = "a1b2c3d4e5f6a7b8c9d0"')], "doc_id long, text string"))
+    assert [(r.secret, r.probability) for r in one.collect()] == [(True, 1.0)]
+
+
+def test_no_python_in_the_plan(docs):
+    plan = secrets.scan(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("words", [1, 60])
+def test_many_candidates_in_one_text(spark, words):
+    text = " ".join(f"{n:020d}" for n in range(words * 10))
+    found = secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [r.start for r in sorted(found, key=lambda r: r.start)] == [21 * n for n in range(words * 10)]

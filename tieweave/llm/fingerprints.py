@@ -10,11 +10,12 @@ from tieweave.llm.common import WORD, shuffle_partitions
 
 #: Lanes of 32 bits in which the SHA-512 digests of the paragraphs are summed.
 WIDE = 16
-#: Longs of the likeness part: each holds four counters of 16 bits, so 64 counters in all, one for each
-#: bit of a shingle's hash.
-SKETCH = 16
-_COUNTER = 0x0001_0001_0001_0001
-_LOW = 0xFFFF
+#: Longs of the likeness part.  Each holds three counters of 21 bits, for three bits of a shingle's hash
+#: that are as many places apart; 63 of the 64 bits are counted.
+SKETCH = WIDTH = 21
+PLACES = (0, 21, 42)
+_ONES = sum(1 << p for p in PLACES)
+_MASK = (1 << WIDTH) - 1
 SHINGLE = 3
 
 
@@ -53,23 +54,23 @@ def _hashes(lines: Column) -> Column:
 
 
 def _sketch(hashes: Column) -> Column:
-    """The number of hashes, and for each of their 64 bits how many have it, modulo 2^16.
+    """The number of hashes, and for each of 63 of their bits how many have it, modulo 2^21.
 
-    Counter ``16 j + k`` counts bit ``16 j + k``; long ``k`` holds the four with the same ``k``.
-    A sum adds four bits at once, without a carry from one counter into the next.
+    The counter for bit ``21 j + k`` is the ``j``-th of long ``k``.  A sum adds three bits at once,
+    without a carry from one counter into the next.
     """
-    high = F.lit(0x7FFF_7FFF_7FFF_7FFF).cast("long")
-    top = F.lit(-0x7FFF_7FFF_7FFF_8000).cast("long")  # the highest bit of each counter
+    high = F.lit(_ONES * (_MASK >> 1)).cast("long")
+    top = F.lit(_ONES << (WIDTH - 1)).cast("long")  # the highest bit of each counter
 
     def counted(all_: Column, k: Column) -> Column:
         def added(total: Column, h: Column) -> Column:
-            bits = F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_COUNTER))
+            bits = F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_ONES).cast("long"))
             return (total.bitwiseAND(high) + bits).bitwiseXOR(total.bitwiseAND(top))
 
         return F.aggregate(all_, F.lit(0).cast("long"), added)
 
     def whole(all_: Column) -> Column:
-        size = F.size(all_).cast("long").bitwiseAND(F.lit(_LOW))
+        size = F.size(all_).cast("long").bitwiseAND(F.lit(_MASK))
         return F.concat(F.array(size), F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: counted(all_, k)))
 
     # As a lambda's argument the hashes are computed once; one plain sum for each long follows.
@@ -77,10 +78,10 @@ def _sketch(hashes: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """An array of longs: 16 lanes of digests, the number of shingles, 16 longs of counters.
+    """An array of longs: 16 lanes of digests, the number of shingles, 21 longs of counters.
 
     Each paragraph has a vector: its digest's lanes, its number of shingles, the bit counts of its
-    shingles' hashes.  The text's is their sum modulo 2^32 and 2^16, so it does not depend on the
+    shingles' hashes.  The text's is their sum modulo 2^32 and 2^21, so it does not depend on the
     order of the paragraphs, and adding or taking away a paragraph's vector inserts or deletes it.
     """
     lines = paragraphs(text)
@@ -88,11 +89,11 @@ def fingerprint(text: Column) -> Column:
 
 
 def _counters(of: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(48), F.lit(16)), lambda by: _shifted(of, by))
+    return F.transform(F.sequence(F.lit(0), F.lit(PLACES[-1]), F.lit(WIDTH)), lambda by: _shifted(of, by))
 
 
 def _shifted(of: Column, by: Column) -> Column:
-    return F.call_function("shiftrightunsigned", of, by).bitwiseAND(F.lit(_LOW))
+    return F.call_function("shiftrightunsigned", of, by).bitwiseAND(F.lit(_MASK))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
@@ -101,9 +102,9 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
     def at(i: Column) -> Column:
         x, y = F.get(a, i), F.get(b, i)
         counters = F.aggregate(
-            F.sequence(F.lit(0), F.lit(48), F.lit(16)), F.lit(0).cast("long"),
+            F.sequence(F.lit(0), F.lit(PLACES[-1]), F.lit(WIDTH)), F.lit(0).cast("long"),
             lambda out, by: out.bitwiseOR(
-                F.call_function("shiftleft", (_shifted(x, by) + sign * _shifted(y, by)).bitwiseAND(F.lit(_LOW)), by)
+                F.call_function("shiftleft", (_shifted(x, by) + sign * _shifted(y, by)).bitwiseAND(F.lit(_MASK)), by)
             ),
         )
         return F.when(i < WIDE, (x + sign * y).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(counters)
@@ -122,14 +123,14 @@ def likeness(a: Column, b: Column) -> Column:
 
     A bit that ``c`` of ``n`` hashes have stands for a sum ``2 c - n`` of random signs, and such
     sums of two texts multiply, in the mean, to the product of their multisets.  Sums are known
-    modulo 2^16 and taken as those nearest zero, which holds for texts of up to 32 767 shingles, and
-    for longer ones unless they repeat a few shingles tens of thousands of times.
+    modulo 2^21 and taken as those nearest zero, which holds for texts of up to a million shingles,
+    and for longer ones unless they repeat a few shingles about as often.
     """
 
     def signs(print_: Column) -> Column:
         counts = F.flatten(F.transform(F.slice(print_, WIDE + 2, SKETCH), _counters))
-        rest = F.transform(counts, lambda c: (2 * c - print_[WIDE]).bitwiseAND(F.lit(_LOW)))
-        return F.transform(rest, lambda r: F.when(r > 0x7FFF, r - 0x10000).otherwise(r).cast("double"))
+        rest = F.transform(counts, lambda c: (2 * c - print_[WIDE]).bitwiseAND(F.lit(_MASK)))
+        return F.transform(rest, lambda r: F.when(r > _MASK >> 1, r - (1 << WIDTH)).otherwise(r).cast("double"))
 
     pairs = F.arrays_zip(signs(a).alias("x"), signs(b).alias("y"))
     sums = F.aggregate(

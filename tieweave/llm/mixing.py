@@ -138,7 +138,7 @@ def mix(
             copy.cast("int").alias("copy"),
             F.greatest(F.least(F.col("size"), demand - begin), F.lit(0)).alias("words"),
             training_time(
-                begin / F.col("target"), _nth([s[0] for s in schedules], F.col("nth")), _nth([s[1] for s in schedules], F.col("nth"))
+                F.try_divide(begin, F.col("target")), _nth([s[0] for s in schedules], F.col("nth")), _nth([s[1] for s in schedules], F.col("nth"))
             ).alias("position"),
         ),
     )
