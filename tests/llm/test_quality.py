@@ -50,7 +50,7 @@ def test_score_is_that_of_the_rules(spark):
 def test_statistics():
     values = dict(zip(quality.STATISTICS, quality.statistics("The cat! the\ncat 12 the\n\nthe")))
     assert (values["words"], values["lines"], values["distinct_words"], values["top_word"]) == pytest.approx((7, 3, 5 / 7, 3 / 7))
-    assert (values["digit_bytes"], values["upper_bytes"]) == pytest.approx((2 / 29, 1 / 29))
+    assert (values["digit_bytes"], values["upper_bytes"]) == pytest.approx((2 / 28, 1 / 28))
     assert quality.statistics(None) == quality.statistics("") == [0.0] * len(quality.STATISTICS)
     assert all(np.isfinite(quality.statistics(t)).all() for t in (" \n ", "a", "\x00", "日本", "a" * 100_000))
 
