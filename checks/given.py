@@ -150,13 +150,13 @@ FROM events WHERE event_type = 'signup'
 REVIEW_DECISIONS = f"""
 SELECT event_id AS seq,
        CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'dismiss'
-            WHEN 'click' THEN 'remove_edge' ELSE 'remove_table' END AS action,
+            WHEN 'click' THEN 'remove_edge'
+            ELSE CASE WHEN event_type = 'view' AND value < 0.1 THEN 'remove_table' ELSE 'look' END END AS action,
        {_EVENT_EDGE},
        CASE WHEN value > 20 THEN 'many-to-one' ELSE 'one-to-many' END AS rel_type,
        'event ' || event_id AS annotation,
        'c1.dbo.U' || user_id AS node_key
 FROM events
-WHERE event_type IN ('purchase', 'error', 'click') OR (event_type = 'view' AND value < 0.1)
 """
 REVIEW_NODES = """
 SELECT DISTINCT 'c1.dbo.U' || user_id AS node_key FROM events
@@ -178,6 +178,21 @@ UNION
 SELECT DISTINCT 'c1.dbo.T' || CAST(floor({_K} / 10) AS INT) FROM events
 """
 
+# Every third table twice, in two schemas.
+AMBIGUOUS_NODES = f"""
+{EDIT_NODES}
+UNION
+SELECT DISTINCT 'c1.ods.T' || CAST(floor({_K} / 10) AS INT) FROM events WHERE floor({_K} / 10) % 3 = 0
+"""
+
+# Decimals beyond bigint and double, of either sign.
+WIDE_DECIMALS = """
+SELECT CAST(l_orderkey AS DECIMAL(18,0)) * CAST(1000000007 AS DECIMAL(20,0)) * (l_partkey - 1000) AS product,
+       CAST(l_extendedprice AS DECIMAL(12,2)) * CAST('0.000000000001' AS DECIMAL(12,12)) * CAST(l_suppkey - 50 AS DECIMAL(5,0)) AS small,
+       CAST(l_linenumber AS DECIMAL(38,0)) AS plain
+FROM lineitem
+"""
+
 # -- two snapshots of many small tables: early and late line numbers
 
 _DRIFT_TABLE = "'dbo.P' || l_partkey || 'Q' || CAST(floor(l_quantity / 10) AS INT)"

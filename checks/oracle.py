@@ -36,12 +36,14 @@ FAMILIES = {
     "int": "numeric", "bigint": "numeric", "double": "numeric", "string": "string",
     "timestamp_ntz": "datetime", "array<float>": "other",
 }
+# Endings a bare name goes without, and column names that suggest categories.
 SUFFIXES = ("_id", "_key", "_code", "_no", "_num", "_number")
 HINT_NAMES = (
     "status", "type", "category", "class", "region", "state", "country", "county", "area", "zone", "code",
     "phase", "unit", "stage", "color", "grade", "lithology",
 )
-LONG = 256
+# Shapes of identifiers.
+IDENTIFIERS = (r"^[A-Z0-9]{8,}$", r"^[A-Z]{2,}-\d{3,}", r"^\d{10,14}$", r"^[A-Z]{2}\d{5,}$")
 
 ORACLE: dict[str, Callable[[], str]] = {}
 
@@ -206,12 +208,12 @@ SELECT table_key, row_count, column_count, string_columns,
        CASE WHEN row_count <= 1000 THEN 'Full pushdown profiling'
             WHEN string_columns <= 20 THEN 'Hybrid profiling (full aggregates + sampled strings)'
             ELSE 'Progressive sampling mode (using pushdown baseline)' END AS profiling_note,
-       row_count > 5000 AS sampled
+       row_count > 1000 AS sampled
 FROM counts JOIN widths USING (table_key)
 """
 
 
-def profile_of(table: str, column: str, kind: str, family: str) -> str:
+def profile_of(table: str, column: str, kind: str, family: str, source: str = "") -> str:
     number = "CAST({}({}) AS DOUBLE)" if family == "numeric" else "CAST(NULL AS DOUBLE)"
     stamp = "{}({})" if family == "datetime" else "CAST(NULL AS TIMESTAMP)"
     return f"""
@@ -220,11 +222,21 @@ SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS native_ty
        count(DISTINCT {column}) AS distinct_count,
        {number.format('min', column)} AS min_num, {number.format('max', column)} AS max_num,
        {stamp.format('min', column)} AS min_ts, {stamp.format('max', column)} AS max_ts
-FROM {table}"""
+FROM {source or table}"""
 
 
-def profiles(wanted=None) -> str:
-    parts = union(profile_of(*c[:4]) for c in (wanted or columns()))
+def sample_of(table: str) -> str:
+    """A quarter of the rows of a table above 1000 rows, by the md5 of the key, or of all columns."""
+    key = [given.PRIMARY_KEYS[table]] if table in given.PRIMARY_KEYS else [c[1] for c in columns() if c[0] == table]
+    texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in key)
+    return (
+        f"(SELECT * FROM {table} WHERE (SELECT count(*) FROM {table}) <= 1000 "
+        f"OR left(md5(concat_ws('|', {texts})), 8) < '40000000') s"
+    )
+
+
+def profiles(wanted=None, sampled=False) -> str:
+    parts = union(profile_of(*c[:4], sample_of(c[0]) if sampled else "") for c in (wanted or columns()))
     return f"""
 SELECT *, round(CASE WHEN row_count > 0 THEN null_count / row_count ELSE 0 END, 6) AS null_ratio,
        round(CASE WHEN non_null_count > 0 THEN distinct_count / non_null_count ELSE 0 END, 6) AS distinct_ratio,
@@ -237,9 +249,47 @@ def column_profile() -> str:
     return profiles()
 
 
+@oracle
+def sampled_profile() -> str:
+    return profiles(sampled=True)
+
+
+@oracle
+def wide_decimals() -> str:
+    return union(
+        f"""
+SELECT '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count,
+       {_plain(f'min({c})')} AS min_dec, {_plain(f'max({c})')} AS max_dec,
+       CAST(min({c}) AS DOUBLE) AS min_num, CAST(max({c}) AS DOUBLE) AS max_num
+FROM ({given.WIDE_DECIMALS}) w"""
+        for c in ("product", "small", "plain")
+    )
+
+
+def _plain(number: str) -> str:
+    """A decimal's digits without zeros at the end of the fraction."""
+    digits = f"CAST({number} AS VARCHAR)"
+    return f"regexp_replace(regexp_replace({digits}, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
+@oracle
+def loaded_profiles() -> str:
+    return profiles([c for c in columns() if c[0] in ("orders", "customer", "nation")])
+
+
+@oracle
+def saved_snapshot() -> str:
+    rows = ", ".join(f"('main.{t}', '{c}', '{k}', {n})" for t, c, k, _, n in columns())
+    return f"""
+WITH counts AS ({table_counts()})
+SELECT table_key, column_name, data_type, ordinal_position, row_count
+FROM (VALUES {rows}) AS t(table_key, column_name, data_type, ordinal_position) JOIN counts USING (table_key)
+"""
+
+
 def key_of(expression: str) -> str:
-    """The text by which equal texts are grouped and ordered."""
-    return f"CASE WHEN length({expression}) <= {LONG} THEN {expression} ELSE 'sha256:' || sha256({expression}) END"
+    """What texts are ordered by."""
+    return f"sha256({expression})"
 
 
 def top_of(table: str, column: str, family: str) -> str:
@@ -260,6 +310,14 @@ def top_values() -> str:
     return union(top_of(t, c, f) for t, c, _, f, _ in columns() if f != "other")
 
 
+def distinct_texts(wanted: list[tuple]) -> str:
+    return union(
+        f"SELECT DISTINCT 'main.{t}' AS table_key, '{c}' AS column_name, {c} AS sample FROM {t} WHERE {c} IS NOT NULL"
+        for t, c, _, f, _ in wanted
+        if f == "string"
+    )
+
+
 def samples(wanted: list[tuple]) -> str:
     return union(
         f"""
@@ -288,21 +346,21 @@ SELECT 'main.{t}' AS table_key, '{c}' AS column_name, count(*) AS total_count, c
        count(DISTINCT lower({c})) AS lower_normalized_distinct FROM {t}"""
         for t, c, *_ in strings
     )
-    patterns = (r"^[A-Z0-9]{8,}$", r"^[A-Z]{2,}-\d{3,}", r"^\d{10,14}$", r"^[A-Z]{2}\d{5,}$")
-    matches = " + ".join(f"CAST(regexp_matches(sample, '{p}') AS INT)" for p in patterns)
+    matches = " + ".join(f"CAST(regexp_matches(sample, '{p}') AS INT)" for p in IDENTIFIERS)
     return f"""
 WITH stats AS ({stats}), samples AS ({samples(strings)}),
+every AS ({distinct_texts(strings)}),
 flags AS (SELECT table_key, column_name, sum({matches}) >= 3 AS is_identifier_like,
                  bool_or(regexp_matches(sample, '\\d')) AS contains_numbers,
-                 bool_or(regexp_matches(sample, '[^a-zA-Z0-9\\s]')) AS contains_special_chars,
-                 count(*) AS samples
-          FROM samples GROUP BY 1, 2)
+                 bool_or(regexp_matches(sample, '[^a-zA-Z0-9\\s]')) AS contains_special_chars
+          FROM every GROUP BY 1, 2),
+listed AS (SELECT table_key, column_name, string_agg(sha256(sample), ',' ORDER BY rank) AS samples FROM samples GROUP BY 1, 2)
 SELECT *, lower_normalized_distinct < distinct_count OR whitespace_normalized_distinct < distinct_count
             AS normalization_reduces,
        CASE WHEN is_categorical THEN distinct_count ELSE 0 END AS categorical_distinct_count
 FROM (SELECT *, round((total_count - non_null_count) / total_count, 6) AS null_ratio,
              lower(column_name) IN ({', '.join(map(text, HINT_NAMES))}) OR distinct_count <= 20 AS is_categorical
-      FROM stats JOIN flags USING (table_key, column_name)) s
+      FROM stats JOIN flags USING (table_key, column_name) JOIN listed USING (table_key, column_name)) s
 """
 
 
@@ -474,17 +532,17 @@ ORDER BY confidence DESC, source_table, source_column, target_table, target_colu
 
 @oracle
 def common_values() -> str:
-    found = [p for p in pairs() if {p["a"][2], p["b"][2]} <= {"int", "bigint", "string"}]
     parts = []
-    for p in found:
+    for p in pairs():
         (ta, ca, _, family, _), (tb, cb, *_) = p["a"], p["b"]
-        order = key_of("v") if family == "string" else "v"
+        if family == "other":
+            continue
+        kinds = {"numeric": ("v", "NULL", "NULL"), "datetime": ("NULL", "v", "NULL"), "string": ("NULL", "NULL", "sha256(v)")}
+        number, stamp, digest = kinds[family]
         parts.append(f"""
 SELECT 'main.{ta}' AS source_table, '{ca}' AS source_column, 'main.{tb}' AS target_table, '{cb}' AS target_column,
-       string_agg(CAST(v AS VARCHAR), '|' ORDER BY r) AS common_values
-FROM (SELECT v, row_number() OVER (ORDER BY {order}) AS r
-      FROM (SELECT {ca} AS v FROM {ta} INTERSECT SELECT {cb} FROM {tb}) s WHERE v IS NOT NULL) t
-WHERE r <= 20 HAVING count(*) > 0""")
+       CAST({number} AS DOUBLE) AS value_num, CAST({stamp} AS TIMESTAMP) AS value_ts, CAST({digest} AS VARCHAR) AS value_sha256
+FROM (SELECT {ca} AS v FROM {ta} INTERSECT SELECT {cb} FROM {tb}) s WHERE v IS NOT NULL""")
     return union(parts)
 
 
@@ -495,10 +553,9 @@ def string_sets() -> str:
         f"SELECT 'main.{t}' AS t, '{c}' AS c, count(DISTINCT {c}) <= 20 OR lower('{c}') IN "
         f"({', '.join(map(text, HINT_NAMES))}) AS cat FROM {t}" for t, c, *_ in used
     )
-    patterns = (r"^[A-Z0-9]{8,}$", r"^[A-Z]{2,}-\d{3,}", r"^\d{10,14}$", r"^[A-Z]{2}\d{5,}$")
-    matches = " + ".join(f"CAST(regexp_matches(sample, '{p}') AS INT)" for p in patterns)
+    matches = " + ".join(f"CAST(regexp_matches(sample, '{p}') AS INT)" for p in IDENTIFIERS)
     return f"""
-WITH {pair_values(found)}, samples AS ({samples(used)}), kinds AS ({distinct}),
+WITH {pair_values(found)}, samples AS ({distinct_texts(used)}), kinds AS ({distinct}),
 ids AS (SELECT table_key AS t, column_name AS c, sum({matches}) >= 3 AS is_id FROM samples GROUP BY 1, 2),
 norm AS (SELECT DISTINCT table_key AS t, column_name AS c,
                 regexp_replace(lower(sample), '^\\s+|\\s+$', '', 'g') AS k FROM samples),
@@ -606,7 +663,7 @@ WHERE node_key NOT IN (SELECT node_key FROM decisions WHERE action = 'remove_tab
 @oracle
 def annotations() -> str:
     return f"""
-WITH notes AS (SELECT * FROM ({given.REVIEW_NOTES}) n WHERE text LIKE 'view%'),
+WITH notes AS (SELECT * FROM ({given.REVIEW_NOTES}) n),
 latest AS (SELECT key, arg_max(text, seq) AS text FROM notes GROUP BY key),
 seeds AS (SELECT DISTINCT source_key || '->' || target_key AS key, annotation AS text FROM ({given.REVIEW_CONFIRMED}) c)
 SELECT key, text FROM latest UNION ALL SELECT key, text FROM seeds WHERE key NOT IN (SELECT key FROM latest)
@@ -624,6 +681,31 @@ GROUP BY 1, 2, 3, 4
 """
 
 
+@oracle
+def ambiguous_edits() -> str:
+    return f"""
+WITH nodes AS (SELECT split_part(node_key, '.', 3) AS short, count(*) AS n FROM ({given.AMBIGUOUS_NODES}) m GROUP BY 1)
+SELECT e.*, coalesce(a.n, 0) AS source_nodes, coalesce(b.n, 0) AS target_nodes
+FROM ({given.REVIEW_EDITS}) e LEFT JOIN nodes a ON a.short = e.source LEFT JOIN nodes b ON b.short = e.target
+WHERE a.n > 1 OR b.n > 1
+"""
+
+
+@oracle
+def saved_state() -> str:
+    return f"SELECT {EDGE}, rel_type, annotation FROM ({given.REVIEW_CONFIRMED}) c"
+
+
+@oracle
+def exported_graph() -> str:
+    return f"SELECT 'copy:' || id AS id, 'copy' AS graph_id, {SIGNATURE} FROM ({given.STORED_EDGES}) e WHERE graph_id = 'g7'"
+
+
+@oracle
+def exported_turns() -> str:
+    return given.TURNS
+
+
 @oracle
 def filtered_suggestions() -> str:
     return f"""
@@ -756,7 +838,7 @@ WHERE r = 1
 def context_edges() -> str:
     return f"""
 WITH tables AS (SELECT DISTINCT schema_name || '.' || table_name AS k FROM ({given.STORED_NODES}) n
-                WHERE graph_id = 'g7' ORDER BY k LIMIT 30)
+                WHERE graph_id = 'g7')
 SELECT id, {SIGNATURE} FROM ({given.STORED_EDGES}) e
 WHERE graph_id = 'g7' AND edge_type = 'confirmed'
   AND source_table_key IN (SELECT k FROM tables) AND target_table_key IN (SELECT k FROM tables)
@@ -856,9 +938,9 @@ def response_edges() -> str:
 @oracle
 def merged_edges() -> str:
     return f"""
-WITH old AS (SELECT DISTINCT 'conn1.dbo.S' || l_suppkey AS source_key, 'k' || l_linenumber AS source_column,
+WITH old AS (SELECT DISTINCT 'conn1.dbo.S' || l_suppkey AS source_key, 'k' || (l_linenumber % 4) AS source_column,
                     'conn1.dbo.P' || l_partkey AS target_key, 'p' AS target_column, 'pipeline' AS origin,
-                    0.9::DOUBLE AS confidence FROM lineitem WHERE l_returnflag = 'R'),
+                    0.9::DOUBLE AS confidence FROM lineitem),
 fresh AS (SELECT *, row_number() OVER (PARTITION BY {EDGE} ORDER BY batch_id, confidence) AS r
           FROM ({response_edge_rows()}) e)
 SELECT {EDGE}, origin, confidence FROM old

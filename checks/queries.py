@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from typing import Callable
 
@@ -15,11 +16,13 @@ from tieweave.operators import candidates as cand
 from tieweave.operators import drift, edges, overlap, profiles, responses, stored_graphs, strings, talk
 from tieweave.operators.values import value_counts
 from tieweave.plans.analysis import candidate_columns, run_analysis, score_pairs
-from tieweave.session import materialize
-from tieweave.sources import reports
+from tieweave.plans.loading import load_tables
+from tieweave.session import materialize, shared_folder
+from tieweave.sources import reports, snapshots
+from tieweave.sources.catalog import Catalog
 
-# Whole tables, no sampling; the given names have no aliases among the defaults.
-WHOLE = Config(tablesample_threshold=0)
+# The given names have no aliases among the defaults.
+WHOLE = Config()
 ALIASES = {"buyer": ("c_custkey", "o_custkey"), "key": ("doc_id", "page_id", "vec_id"), "late": ("vec_id",)}
 ONE_GRAPH = "g7"
 
@@ -91,7 +94,7 @@ def foreign_key_edges(spark, sf_dir):
 @query
 def table_profile(spark, sf_dir):
     c = given.catalog(spark, sf_dir)
-    config = replace(WHOLE, mode_a_max_rows=1000, tablesample_threshold=5000)
+    config = replace(WHOLE, mode_a_max_rows=1000, sample_fraction=0.25)
     return profiles.profiling_modes(c.columns_frame(), c.row_counts(), config).select(
         "table_key", "row_count", "column_count", "string_columns", "profiling_mode", "profiling_note", "sampled"
     )
@@ -122,7 +125,8 @@ def string_profile(spark, sf_dir):
         "table_key", "column_name", "total_count", "non_null_count", "distinct_count", "null_ratio", "avg_length",
         "min_length", "max_length", "whitespace_normalized_distinct", "lower_normalized_distinct",
         "normalization_reduces", "is_categorical", "categorical_distinct_count", "is_identifier_like",
-        "contains_numbers", "contains_special_chars", F.size("sample_values").alias("samples"),
+        "contains_numbers", "contains_special_chars",
+        F.array_join(F.transform("sample_values", lambda s: F.sha2(s, 256)), ",").alias("samples"),
     )
 
 
@@ -137,13 +141,42 @@ def sample_values(spark, sf_dir):
 
 @query
 def sampled_profile(spark, sf_dir):
-    c = given.catalog(spark, sf_dir).only(["main.lineitem"])
-    config = replace(WHOLE, mode_a_max_rows=1000, tablesample_threshold=5000, tablesample_rows=5000)
+    """A quarter of the rows of each table above 1000 rows, by the md5 of the key."""
+    c = given.catalog(spark, sf_dir)
+    config = replace(WHOLE, mode_a_max_rows=1000, sample_fraction=0.25)
     modes = profiles.profiling_modes(c.columns_frame(), c.row_counts(), config)
     values = value_counts(c, sampled=profiles.sampled_scans(c, modes, config))
     return profiles.column_profiles(values, c.columns_frame()).select(*PROFILE_COLUMNS)
 
 
+@query
+def wide_decimals(spark, sf_dir):
+    c = Catalog(spark, {"main.wide": given.derived(spark, sf_dir, given.WIDE_DECIMALS)})
+    return profiles.column_profiles(value_counts(c, text_forms=False), c.columns_frame()).select(
+        "column_name", "row_count", "distinct_count", "min_dec", "max_dec", "min_num", "max_num"
+    )
+
+
+@query
+def loaded_profiles(spark, sf_dir):
+    """Column profiles of three chosen tables, by way of loading them."""
+    loaded = load_tables(given.catalog(spark, sf_dir), ["main.orders", "main.customer", "main.nation"])
+    return loaded.column_profiles.select(*PROFILE_COLUMNS)
+
+
+def _folder(spark, label: str) -> str:
+    return f"{shared_folder(spark)}/tieweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def saved_snapshot(spark, sf_dir):
+    """The inventory written as a snapshot and read back."""
+    folder = _folder(spark, "snapshots")
+    snapshots.save_snapshot(given.catalog(spark, sf_dir).inventory(), folder, "one")
+    tables, columns = snapshots.load_snapshot(spark, folder, "one")
+    return columns.join(tables, "table_key").select("table_key", "column_name", "data_type", "ordinal_position", "row_count")
+
+
 # -- candidates
 
 
@@ -225,15 +258,17 @@ def scored_pairs(spark, sf_dir):
 
 @query
 def common_values(spark, sf_dir):
-    """Shared values of the pairs of whole-number and text columns."""
+    """All shared values of all pairs."""
     c = given.catalog(spark, sf_dir)
-    found = cand.candidate_pairs(c.columns_frame(), WHOLE)
-    whole = ("bigint", "int", "string")
-    found = materialize(found.where(F.col("source_type").isin(*whole) & F.col("target_type").isin(*whole)), "candidates")
+    found = materialize(cand.candidate_pairs(c.columns_frame(), WHOLE), "candidates")
     posted = overlap.postings(overlap.value_members(value_counts(c, candidate_columns(found))))
-    listed = overlap.common_values(overlap.hits(found, posted), c, WHOLE.common_values)
-    return found.join(listed, list(overlap.PAIR_IDS)).select(
-        *cand.PAIR_KEY, F.array_join("common_values", "|").alias("common_values")
+    shared = overlap.shared_values(overlap.hits(found, posted), c)
+    family = F.col("source_family")
+    return found.join(shared, list(overlap.PAIR_IDS)).where(family != "other").select(
+        *cand.PAIR_KEY,
+        F.when(family == "numeric", F.col("value")).try_cast("double").alias("value_num"),
+        F.when(family == "datetime", F.col("value")).try_cast("timestamp_ntz").alias("value_ts"),
+        F.when(family == "string", F.sha2("value", 256)).alias("value_sha256"),
     )
 
 
@@ -246,7 +281,8 @@ def _string_part(spark, sf_dir):
     values = materialize(value_counts(c, used), "values")
     columns = columns.where(F.col("col_id").isin(used))
     rows = strings.string_profiles(values, columns, profiles.column_profiles(values, columns), c, WHOLE)
-    return overlap.string_evidence(found, materialize(rows, "strings"), WHOLE)
+    rows = materialize(rows, "strings")
+    return overlap.string_evidence(found, rows, WHOLE, members=overlap.text_members(values, c, rows))
 
 
 @query
@@ -326,7 +362,7 @@ def annotations(spark, sf_dir):
     seeds = given.derived(spark, sf_dir, given.REVIEW_CONFIRMED).select(
         F.concat_ws("->", "source_key", "target_key").alias("key"), F.col("annotation").alias("text")
     ).distinct()
-    return edges.annotate(seeds, notes.where(F.col("text").startswith("view")))
+    return edges.annotate(seeds, notes)
 
 
 @query
@@ -335,6 +371,46 @@ def edited_edges(spark, sf_dir):
     return edges.confirmed_from_edit(rows, given.derived(spark, sf_dir, given.EDIT_NODES))
 
 
+@query
+def ambiguous_edits(spark, sf_dir):
+    rows = given.derived(spark, sf_dir, given.REVIEW_EDITS)
+    return edges.ambiguous_edits(rows, given.derived(spark, sf_dir, given.AMBIGUOUS_NODES))
+
+
+@query
+def saved_state(spark, sf_dir):
+    """The state of a review written and its confirmed edges read back."""
+    suggested, confirmed, _ = _review(spark, sf_dir)
+    nodes = given.derived(spark, sf_dir, given.REVIEW_NODES)
+    server = spark.createDataFrame([("s", "d")], "server string, database string")
+    notes = given.derived(spark, sf_dir, given.REVIEW_NOTES).select("key", "text")
+    folder = _folder(spark, "state")
+    reports.save_state(folder, server, nodes, confirmed, suggested, notes)
+    kinds = ", ".join(f"{c} string" for c in (*edges.EDGE_KEY, "rel_type", "annotation"))
+    return reports.load_edges(spark, folder, "confirmed", kinds)
+
+
+@query
+def exported_graph(spark, sf_dir):
+    """One graph written and read back under a new id: its edges."""
+    parts = {
+        "graph": given.derived(spark, sf_dir, given.GRAPHS), "nodes": given.derived(spark, sf_dir, given.STORED_NODES),
+        "edges": given.derived(spark, sf_dir, given.STORED_EDGES), "confirmers": given.derived(spark, sf_dir, given.CONFIRMERS),
+    }
+    folder = _folder(spark, "graph")
+    reports.export_graph(folder, ONE_GRAPH, parts["graph"], parts["nodes"], parts["edges"], parts["confirmers"])
+    copy = reports.import_graph(spark, folder, {name: frame.schema for name, frame in parts.items()}, "copy")
+    return copy["edges"].select("id", "graph_id", *stored_graphs.SIGNATURE)
+
+
+@query
+def exported_turns(spark, sf_dir):
+    turns = given.derived(spark, sf_dir, given.TURNS)
+    folder = _folder(spark, "turns")
+    reports.export_conversations(folder, turns)
+    return spark.read.schema(turns.schema).json(folder)
+
+
 @query
 def filtered_suggestions(spark, sf_dir):
     rows = given.derived(spark, sf_dir, given.REVIEW_SUGGESTED)
@@ -506,7 +582,7 @@ def response_edges(spark, sf_dir):
 
 @query
 def merged_edges(spark, sf_dir):
-    """Edges read from responses added to those suggested from returned lines."""
+    """Edges read from responses added to those suggested from the lines."""
     rows = edges.from_responses(_relationships(spark, sf_dir), given.derived(spark, sf_dir, given.RESPONSE_NODES))
     new = rows.select(
         *edges.EDGE_KEY, F.lit("ai").alias("origin"),
@@ -514,9 +590,9 @@ def merged_edges(spark, sf_dir):
     )
     existing = given.derived(
         spark, sf_dir,
-        "SELECT DISTINCT 'conn1.dbo.S' || l_suppkey AS source_key, 'k' || l_linenumber AS source_column, "
+        "SELECT DISTINCT 'conn1.dbo.S' || l_suppkey AS source_key, 'k' || (l_linenumber % 4) AS source_column, "
         "'conn1.dbo.P' || l_partkey AS target_key, 'p' AS target_column, 'pipeline' AS origin, "
-        "CAST(0.9 AS DOUBLE) AS confidence FROM lineitem WHERE l_returnflag = 'R'",
+        "CAST(0.9 AS DOUBLE) AS confidence FROM lineitem",
     )
     return edges.add_suggestions(existing, new, order="turn")
 

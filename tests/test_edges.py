@@ -183,3 +183,27 @@ def test_export_import_keeps_everything(spark, tmp_path):
     turns = spark.createDataFrame([(2, 1, "b"), (1, 2, "d"), (1, 1, "c")], "conv_id int, turn int, question string")
     reports.export_conversations(str(tmp_path / "talk"), turns)
     assert spark.read.json(str(tmp_path / "talk")).count() == 3
+
+
+def test_names_of_several_nodes_are_left_out(spark):
+    nodes = spark.createDataFrame([("c1.dbo.T",), ("c1.ods.T",), ("c1.dbo.U",)], "node_key string")
+    rows = [("T", "k", "U", "k", "r", "", 1), ("c1.ods.T", "k", "U", "k", "r", "", 2), ("U", "k", "V", "k", "r", "", 3)]
+    edited = spark.createDataFrame(
+        rows, "source string, source_column string, target string, target_column string, rel_type string, annotation string, seq long"
+    )
+    assert rows_of(edges.confirmed_from_edit(edited, nodes), "source_key", "target_key") == [("c1.ods.T", "c1.dbo.U")]
+    assert rows_of(edges.ambiguous_edits(edited, nodes), "source", "target", "source_nodes", "target_nodes") == [("T", "U", 2, 1)]
+
+
+def test_bulk_decisions_are_repeatable(spark):
+    frame = spark.createDataFrame([("a", "x", "b", "y"), ("a", "x", "b", "y"), ("c", "x", "b", "y")], list(edges.EDGE_KEY))
+    first = edges.decisions_for(frame, "dismiss", 5)
+    assert rows_of(first) == rows_of(edges.decisions_for(frame.repartition(3), "dismiss", 5))
+    assert first.count() == 2 and {r.seq for r in first.collect()} == {5}
+
+
+def test_repeated_descriptions(spark):
+    nodes = spark.createDataFrame([("c1.dbo.T", 5, {"k": "int"})], "node_key string, row_count long, columns map<string,string>")
+    said = spark.createDataFrame([("dbo.T", "k", "old", 1), ("dbo.T", "k", "new", 2)], "table string, column string, description string, batch_id long")
+    assert stored_graphs.stored_nodes(nodes, "g", said).first().descriptions == {"k": "new"}
+    assert stored_graphs.stored_nodes(nodes, "g", said.drop("batch_id")).first().descriptions == {"k": "old"}

@@ -93,13 +93,16 @@ def test_modes_and_sampling(spark):
     )
     counts = spark.createDataFrame([(k, r) for k, r, _ in cases], "table_key string, row_count long")
     rows = {r.table_key: (r.profiling_mode, r.sampled) for r in profiling_modes(columns, counts, Config()).collect()}
-    assert rows == {"t.a": ("A", False), "t.b": ("A", False), "t.c": ("B", False), "t.d": ("C", False), "t.e": ("B", True)}
+    assert rows == {"t.a": ("A", False), "t.b": ("A", False), "t.c": ("B", False), "t.d": ("C", False), "t.e": ("B", False)}
     c = Catalog(spark, {"t.big": spark.range(20_000).toDF("id")})
-    config = Config(mode_a_max_rows=10, tablesample_threshold=1000, tablesample_rows=2000)
+    config = Config(mode_a_max_rows=10, sample_fraction=0.1)
     scans = sampled_scans(c, profiling_modes(c.columns_frame(), c.row_counts(), config), config)
     taken = scans["t.big"].agg(F.count("id").alias("n"), F.max("id").alias("top")).first()
     assert 1500 < taken.n < 2500 and taken.top > 15_000
-    off = Config(mode_a_max_rows=10, tablesample_threshold=0)
+    moved = Catalog(spark, {"t.big": spark.range(20_000).toDF("id").repartition(7)})
+    again = sampled_scans(moved, profiling_modes(c.columns_frame(), c.row_counts(), config), config)
+    assert again["t.big"].exceptAll(scans["t.big"]).count() == 0 and again["t.big"].count() == taken.n
+    off = Config(mode_a_max_rows=10)
     assert sampled_scans(c, profiling_modes(c.columns_frame(), c.row_counts(), off), off) == {}
 
 
@@ -157,3 +160,52 @@ def test_hot_value_is_one_row(spark):
     assert (best["s"].value_str, best["s"].cnt) == (hot, 3000)
     rows = {r.column_name: r for r in column_profiles(values, columns).collect()}
     assert rows["n"].distinct_count == rows["s"].distinct_count == 6001
+
+
+def test_wide_decimals_keep_their_range(spark):
+    def ends(kind, *texts):
+        frame = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast(kind).alias("d"))
+        c, values, columns = profiled(spark, frame)
+        row = column_profiles(values, columns).first()
+        return row.min_dec, row.max_dec, row.min_num, row.max_num, row.min_long
+
+    assert ends("decimal(38,0)", "7", "12345678901234567891", "12345678901234567893") == (
+        "7", "12345678901234567893", 7.0, 12345678901234567893.0, None,
+    )
+    assert ends("decimal(38,18)", "99999.123456789012345678", "0.5", None)[:2] == ("0.5", "99999.123456789012345678")
+    negative = ("-12.000000000000000001", "-12", "-12.5", "-3.100000000000000007", "-3.100000000000000009")
+    assert ends("decimal(38,18)", *negative)[:2] == ("-12.5", "-3.100000000000000007")
+    assert ends("decimal(10,2)", "3", "10", "-2")[:2] == ("-2", "10")
+
+
+def test_texts_that_look_like_digests(spark):
+    long = "x" * 300
+    import hashlib
+
+    fake = "sha256:" + hashlib.sha256(long.encode()).hexdigest()
+    c, values, columns = profiled(spark, spark.createDataFrame([(long,), (fake,), ("sha256:",)], "t string"))
+    assert column_profiles(values, columns).first().distinct_count == 3
+    assert {r["sample"] for r in sample_values(values, columns, c).collect()} == {long, fake, "sha256:"}
+
+
+def test_samples_do_not_depend_on_length(spark):
+    import hashlib
+
+    texts = [chr(97 + n) * (10 if n % 2 else 400) for n in range(26)]
+    c, values, columns = profiled(spark, spark.createDataFrame([(t,) for t in texts], "t string"))
+    found = [r["sample"] for r in sample_values(values, columns, c, 5).orderBy("rank").collect()]
+    assert found == sorted(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())[:5]
+
+
+def test_column_names_with_backticks(spark):
+    c, values, columns = profiled(spark, spark.createDataFrame([("a",)], "`odd``name` string"))
+    assert column_profiles(values, columns).first().distinct_count == 1
+
+
+def test_string_statistics_have_no_expand(spark):
+    from tieweave.operators.strings import string_statistics
+
+    _, values, columns = profiled(spark, spark.createDataFrame([("a ",), ("A",)], "t string"))
+    found = string_statistics(values, columns)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert (found.first().whitespace_normalized_distinct, found.first().lower_normalized_distinct) == (2, 2)

@@ -33,11 +33,13 @@ DEFAULT_ALIASES = MappingProxyType(
 
 @dataclass(frozen=True)
 class Config:
-    """Settings with an effect; the defaults are those of the original tool.
+    """Settings with an effect; weights, bands and minimums default to the original tool's.
 
-    ``tablesample_threshold=0`` switches sampling off, so every row is profiled.
-    ``scope`` picks the value sets that are compared: ``"full"`` takes all distinct
-    values, ``"top"`` only the ``top_n`` most frequent ones of each column.
+    Every row is read unless ``sample_fraction`` is given, the share of rows to read of
+    each table in mode B or C.  ``scope`` picks the value sets that are compared: ``"full"``
+    takes all distinct values and tokens, ``"top"`` only the ``top_n`` most frequent values
+    and the samples of each column.  ``common_values`` limits the shared values that are
+    listed; without it all are.
     """
 
     name_similarity_min: float = 0.6
@@ -49,17 +51,14 @@ class Config:
     categorical_distinct_max: int = 20
     aliases: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: DEFAULT_ALIASES)
     mode_a_max_rows: int = 100_000
-    tablesample_threshold: int = 500_000
-    tablesample_rows: int = 50_000
-    sample_seed: int = 17
+    sample_fraction: float | None = None
     sample_size: int = 100
     top_n: int = 10
     sample_values: int = 20
-    common_values: int = 20
+    common_values: int | None = None
     fuzzy_value_threshold: float = 0.8
     column_patterns: tuple[str, ...] = ()
     table_patterns: tuple[str, ...] = ()
-    max_suggested_edges: int = 100
     promotion_threshold: int = 3
     scope: str = "full"
 
@@ -70,6 +69,8 @@ class Config:
             raise ValueError("type_compatibility is 'strict' or 'relaxed'")
         if self.scope not in ("full", "top"):
             raise ValueError("scope is 'full' or 'top'")
+        if self.sample_fraction is not None and not 0.0 < self.sample_fraction <= 1.0:
+            raise ValueError("sample_fraction must be above 0 and at most 1")
 
     @property
     def strict(self) -> bool:

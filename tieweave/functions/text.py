@@ -31,7 +31,16 @@ CATEGORICAL_NAMES = (
 
 
 def is_long(text: Column) -> Column:
-    return F.length(text) > LONG_TEXT
+    """Texts that go by digest: long ones, and those that would pass for a digest."""
+    return (F.length(text) > LONG_TEXT) | text.startswith(DIGEST_PREFIX)
+
+
+def is_key_of_long(key: Column) -> Column:
+    return F.coalesce(key.startswith(DIGEST_PREFIX), F.lit(False))
+
+
+def sql_is_long(text: str) -> str:
+    return f"(length({text}) > {LONG_TEXT} OR startswith({text}, '{DIGEST_PREFIX}'))"
 
 
 def text_key(text: Column) -> Column:
@@ -45,7 +54,7 @@ def sql_digest(text: str) -> str:
 
 def sql_text_key(text: str) -> str:
     """:func:`text_key` as a SQL expression."""
-    return f"if(length({text}) > {LONG_TEXT}, {sql_digest(text)}, {text})"
+    return f"if({sql_is_long(text)}, {sql_digest(text)}, {text})"
 
 
 def sql_strip_blanks(text: str) -> str:
@@ -84,6 +93,18 @@ def has_special(text: Column) -> Column:
     return text.rlike(r"(?U)[^a-zA-Z0-9\s\x1c-\x1f]")
 
 
+def sql_identifier_hits(text: str) -> str:
+    return " + ".join(f"CAST({text} RLIKE r'(?U){p}' AS INT)" for p in IDENTIFIER_PATTERNS)
+
+
+def sql_has_digit(text: str) -> str:
+    return f"{text} RLIKE r'(?U)\\d'"
+
+
+def sql_has_special(text: str) -> str:
+    return f"{text} RLIKE r'(?U)[^a-zA-Z0-9\\s\\x1c-\\x1f]'"
+
+
 def short_label(key: Column) -> Column:
     """Last two parts of a dotted key."""
     return F.substring_index(key, ".", -2)

@@ -49,8 +49,12 @@ def fk_edges(foreign_keys: DataFrame, nodes: DataFrame, connection_id: str) -> D
 
 
 def edges_between_nodes(edges: DataFrame, nodes: DataFrame, by: str = "table_key") -> DataFrame:
-    """Replace the table names of ``edges`` by node keys; edges without both nodes go."""
-    keys = nodes.select(by, "node_key").distinct()
+    """Replace the table names of ``edges`` by node keys.
+
+    Edges without both nodes go, and so do those with a name that several nodes have, as
+    nothing says which is meant: see ``ambiguous_edges``.
+    """
+    keys = _nodes_by_name(nodes, by).where("nodes = 1").select(by, "node_key")
     out = edges
     for end in ("source", "target"):
         side = keys.select(F.col(by).alias(f"{end}_table"), F.col("node_key").alias(f"{end}_key"))
@@ -59,20 +63,37 @@ def edges_between_nodes(edges: DataFrame, nodes: DataFrame, by: str = "table_key
     return out.select(*EDGE_KEY, *rest)
 
 
-def add_suggestions(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+def _nodes_by_name(nodes: DataFrame, by: str) -> DataFrame:
+    """One row per name: how many nodes have it, and one of them."""
+    return nodes.groupBy(by).agg(F.count_distinct("node_key").alias("nodes"), F.min("node_key").alias("node_key"))
+
+
+def ambiguous_edges(edges: DataFrame, nodes: DataFrame, by: str = "table_key") -> DataFrame:
+    """Edges that name a table which several nodes have, with the numbers of nodes of both ends."""
+    counts = _nodes_by_name(nodes, by)
+    out = edges
+    for end in ("source", "target"):
+        side = counts.select(F.col(by).alias(f"{end}_table"), F.col("nodes").alias(f"{end}_nodes"))
+        out = out.join(side, f"{end}_table", "left")
+    return out.where("source_nodes > 1 OR target_nodes > 1").select(
+        *edges.columns, *[F.coalesce(f"{end}_nodes", F.lit(0)).alias(f"{end}_nodes") for end in ("source", "target")]
+    )
+
+
+def add_suggestions(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Add edges that are not there yet; of new duplicates the first by ``order`` stays."""
     fresh = new.join(existing.select(*EDGE_KEY), list(EDGE_KEY), "left_anti")
-    if order is not None:
-        fresh = rank_values(fresh, EDGE_KEY, [F.col(order).asc()], 1).drop("rank", order)
-    else:
-        fresh = fresh.dropDuplicates(list(EDGE_KEY))
+    fresh = rank_values(fresh, EDGE_KEY, [F.col(order).asc()], 1).drop("rank", order)
     return existing.unionByName(fresh)
 
 
 def decisions_for(edges: DataFrame, action: str, first_seq: int = 0) -> DataFrame:
-    """One decision per edge, for bulk approval or denial."""
-    return edges.select(
-        (F.monotonically_increasing_id() + first_seq).alias("seq"),
+    """One decision per edge, for bulk approval or denial.
+
+    They are one step, so all have the same ``seq``: no edge is in it twice.
+    """
+    return edges.select(*EDGE_KEY).distinct().select(
+        F.lit(first_seq).cast("long").alias("seq"),
         F.lit(action).alias("action"),
         *EDGE_KEY,
         F.lit(DEFAULT_REL_TYPE).alias("rel_type"),
@@ -144,15 +165,30 @@ def annotate(annotations: DataFrame, notes: DataFrame) -> DataFrame:
     return annotations.select("key", "text").join(latest, "key", "left_anti").unionByName(latest)
 
 
+def _named(edited: DataFrame) -> DataFrame:
+    return edited.withColumnRenamed("source", "source_table").withColumnRenamed("target", "target_table")
+
+
+def _names(nodes: DataFrame) -> DataFrame:
+    names = F.array(F.substring_index("node_key", ".", -1), F.col("node_key"))
+    return nodes.select(F.explode(F.array_distinct(names)).alias("name"), "node_key")
+
+
+def ambiguous_edits(edited: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of an edited table that ``confirmed_from_edit`` cannot place for certain."""
+    rows = ambiguous_edges(_named(edited), _names(nodes), by="name")
+    return rows.withColumnRenamed("source_table", "source").withColumnRenamed("target_table", "target")
+
+
 def confirmed_from_edit(edited: DataFrame, nodes: DataFrame) -> DataFrame:
     """Confirmed edges rebuilt from an edited table that names tables shortly.
 
     ``edited`` has ``source, source_column, target, target_column, rel_type, annotation``
-    and ``seq`` for the order of rows; of equal pairs the last row wins.
+    and ``seq`` for the order of rows; of equal pairs the last row wins.  A name is the last
+    part of a node's key or the whole key; rows with a name that several nodes have are
+    left to ``ambiguous_edits``.
     """
-    named = edited.withColumnRenamed("source", "source_table").withColumnRenamed("target", "target_table")
-    short = nodes.select(F.substring_index("node_key", ".", -1).alias("short_name"), "node_key")
-    placed = edges_between_nodes(named, short, by="short_name")
+    placed = edges_between_nodes(_named(edited), _names(nodes), by="name")
     return rank_values(placed, EDGE_KEY, [F.col("seq").desc()], 1).select(*EDGE_KEY, "rel_type", "annotation")
 
 
@@ -195,6 +231,7 @@ def review_filter(
     return rows
 
 
-def visible_edges(edges: DataFrame, floor: float = 0.0, limit: int = Config.max_suggested_edges) -> DataFrame:
-    """The best edges above a confidence floor; none for ``limit=0``."""
-    return edges.where(F.col("confidence") >= floor).orderBy(F.desc("confidence"), *EDGE_KEY).limit(max(limit, 0))
+def visible_edges(edges: DataFrame, floor: float = 0.0, limit: int | None = None) -> DataFrame:
+    """The edges above a confidence floor, best first: all, or the first ``limit``."""
+    rows = edges.where(F.col("confidence") >= floor).orderBy(F.desc("confidence"), *EDGE_KEY)
+    return rows if limit is None else rows.limit(max(limit, 0))

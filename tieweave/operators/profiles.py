@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieweave.config import Config
@@ -10,6 +10,7 @@ from tieweave.functions.families import wants_minmax
 from tieweave.functions.scores import ratio
 from tieweave.operators.values import (
     has_value,
+    quoted,
     rank_values,
     restore_long_texts,
     value_order,
@@ -25,9 +26,31 @@ MODE_NOTES = {
 MAX_STRING_COLUMNS_FOR_B = 20
 
 
+def decimal_order(digits: Column) -> Column:
+    """A struct that orders plain decimal texts by number: sign, digits before the point, digits.
+
+    Digits of negative numbers are turned round, with an end mark above any digit.
+    """
+    bare = F.regexp_replace(digits, "^-", "")
+    negative = digits.startswith("-")
+    size = F.length(F.substring_index(bare, ".", 1))
+    turned = F.concat(F.translate(bare, "0123456789", "9876543210"), F.lit("~"))
+    return F.when(
+        digits.isNotNull(),
+        F.struct(
+            F.when(negative, -1).otherwise(1).alias("sign"), F.when(negative, -size).otherwise(size).alias("size"),
+            F.when(negative, turned).otherwise(bare).alias("order"), digits.alias("digits"),
+        ),
+    )
+
+
 def column_profiles(values: DataFrame, columns: DataFrame) -> DataFrame:
     """Counts, ratios and range of every column; one aggregation over the value relation."""
     present = has_value()
+    # Decimals that neither a bigint nor a double holds; texts of other columns are no numbers here.
+    numbers = F.broadcast(columns.where(wants_minmax(F.col("family")) & F.col("native_type").startswith("decimal")).select("col_id", F.lit(True).alias("is_decimal")))
+    values = values.join(numbers, "col_id", "left")
+    wide = F.when(F.col("is_decimal") & F.col("k_txt").isNotNull(), decimal_order(F.col("k_txt")))
     counts = values.groupBy("col_id").agg(
         F.sum("cnt").alias("row_count"),
         F.sum(F.when(present, F.col("cnt"))).alias("non_null_count"),
@@ -38,15 +61,27 @@ def column_profiles(values: DataFrame, columns: DataFrame) -> DataFrame:
         F.max("k_dbl").alias("max_dbl"),
         F.min("k_ts").alias("min_ts"),
         F.max("k_ts").alias("max_ts"),
+        F.min(wide).alias("least_wide"),
+        F.max(wide).alias("most_wide"),
     )
     ranged = wants_minmax(F.col("family"))
+    whole = F.col("min_dbl").isNull() & F.col("least_wide").isNull()
+
+    def ends(wide: str, long: str, double: str):
+        """The exact ends of a decimal column by kind of key; none for other columns."""
+        plain = F.regexp_replace(F.regexp_replace(F.col(double).try_cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        kinds = [F.col(wide), decimal_order(F.col(long).cast("string")), decimal_order(plain)]
+        return F.when(F.col("native_type").startswith("decimal"), F.array_compact(F.array(*kinds)))
+
     rows = columns.join(counts, "col_id", "left").select(
         *columns.columns,
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("row_count", "non_null_count", "distinct_count")],
-        F.when(ranged, F.least("min_dbl", F.col("min_long").cast("double"))).alias("min_num"),
-        F.when(ranged, F.greatest("max_dbl", F.col("max_long").cast("double"))).alias("max_num"),
-        F.when(ranged & F.col("min_dbl").isNull(), F.col("min_long")).alias("min_long"),
-        F.when(ranged & F.col("max_dbl").isNull(), F.col("max_long")).alias("max_long"),
+        F.when(ranged, F.least("min_dbl", F.col("min_long").cast("double"), F.col("least_wide.digits").try_cast("double"))).alias("min_num"),
+        F.when(ranged, F.greatest("max_dbl", F.col("max_long").cast("double"), F.col("most_wide.digits").try_cast("double"))).alias("max_num"),
+        F.when(ranged & whole, F.col("min_long")).alias("min_long"),
+        F.when(ranged & whole, F.col("max_long")).alias("max_long"),
+        F.when(ranged, F.array_min(ends("least_wide", "min_long", "min_dbl"))["digits"]).alias("min_dec"),
+        F.when(ranged, F.array_max(ends("most_wide", "max_long", "max_dbl"))["digits"]).alias("max_dec"),
         F.when(ranged, F.col("min_ts")).alias("min_ts"),
         F.when(ranged, F.col("max_ts")).alias("max_ts"),
     )
@@ -107,18 +142,27 @@ def profiling_modes(columns: DataFrame, row_counts: DataFrame, config: Config) -
         note = note.when(F.col("profiling_mode") == mode, text)
     return rows.withColumn("profiling_note", note).withColumn(
         "sampled",
-        F.lit(config.tablesample_threshold > 0)
-        & (F.col("row_count") > config.tablesample_threshold)
-        & F.col("profiling_mode").isin("B", "C"),
+        F.lit(config.sample_fraction is not None) & F.col("profiling_mode").isin("B", "C"),
     )
 
 
 def sampled_scans(catalog: Catalog, modes: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """Row samples of the tables marked ``sampled``; one driver-side row per such table."""
-    chosen = modes.where("sampled").select("table_key", "row_count").toLocalIterator()
-    return {
-        r["table_key"]: catalog.tables[r["table_key"]].sample(
-            fraction=min(1.0, config.tablesample_rows / r["row_count"]), seed=config.sample_seed
-        )
-        for r in chosen
-    }
+    """Row samples of the tables marked ``sampled``; one driver-side row per such table.
+
+    A row belongs to the sample by the md5 of its primary key (of all columns where none is
+    declared), so a task that runs again, or another partitioning, takes the same rows.
+    """
+    if config.sample_fraction is None:
+        return {}
+    last = f"{min(int(config.sample_fraction * 2**32), 2**32 - 1):08x}"
+    keys: dict[str, list[str]] = {}
+    for k in catalog.keys:
+        if k["is_primary_key"]:
+            keys.setdefault(k["table_key"], []).append(k["column_name"])
+    samples = {}
+    for r in modes.where("sampled").select("table_key").toLocalIterator():
+        frame = catalog.tables[r["table_key"]]
+        named = [quoted(c) for c in keys.get(r["table_key"], frame.columns)]
+        texts = [f"coalesce(CAST({c} AS STRING), '')" for c in named]
+        samples[r["table_key"]] = frame.where(f"left(md5(concat_ws('|', {', '.join(texts)})), 8) < '{last}'")
+    return samples

@@ -71,9 +71,9 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 
 def response_errors(parsed: DataFrame) -> DataFrame:
-    """Responses that could not be read, with the beginning of their JSON for the report."""
+    """Responses that could not be read, with their JSON on one line for the report."""
     return parsed.where(F.col("items").isNull()).select(
-        "batch_id", "truncated", F.substring(F.translate("json", "\n", " "), 1, 260).alias("snippet")
+        "batch_id", "truncated", F.translate("json", "\n", " ").alias("snippet")
     )
 
 
@@ -109,10 +109,16 @@ def column_descriptions(parsed: DataFrame) -> DataFrame:
     )
 
 
+def one_description(descriptions: DataFrame) -> DataFrame:
+    """One description per table column: the last response's where rows say which that is, else the
+    greatest text."""
+    order = [F.col(c).desc() for c in ("batch_id", "position", "description") if c in descriptions.columns]
+    return rank_values(descriptions, ("table", "column"), order, 1).drop("rank")
+
+
 def description_lookup(descriptions: DataFrame) -> DataFrame:
     """One description per table column; the last response that names it wins."""
-    order = [F.col("batch_id").desc(), F.col("position").desc()]
-    return rank_values(descriptions, ("table", "column"), order, 1).select("table", "column", "description")
+    return one_description(descriptions).select("table", "column", "description")
 
 
 def describe_columns(columns: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tieweave.config import Config
 from tieweave.functions.text import edge_key, node_parts
 from tieweave.operators.edges import EDGE_KEY
+from tieweave.operators.responses import one_description
 from tieweave.operators.values import rank_values
 
 SIGNATURE = ("source_table_key", "source_column", "target_table_key", "target_column")
-MAX_CONTEXT_TABLES = 30
 
 
 def graph_list(
@@ -75,7 +75,7 @@ def stored_nodes(nodes: DataFrame, graph_id: str, descriptions: DataFrame | None
     nothing = F.create_map().cast("map<string,string>")
     if descriptions is None:
         return rows.withColumn("descriptions", nothing)
-    per_table = descriptions.groupBy(F.col("table").alias("described")).agg(
+    per_table = one_description(descriptions).groupBy(F.col("table").alias("described")).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "description"))).alias("descriptions")
     )
     return (
@@ -198,10 +198,12 @@ def promoted_edges(edges: DataFrame, graph_id: str, threshold: int = Config.prom
     return rank_values(missing, SIGNATURE, best, 1).select(*edges.columns)
 
 
-def context_edges(nodes: DataFrame, edges: DataFrame, max_tables: int = MAX_CONTEXT_TABLES) -> DataFrame:
-    """Edges whose two tables are among the first ``max_tables`` of the graph."""
+def context_edges(nodes: DataFrame, edges: DataFrame, max_tables: int | None = None) -> DataFrame:
+    """Edges whose two tables are nodes of the graph, or among its first ``max_tables`` by name."""
     table = F.concat_ws(".", "schema_name", "table_name").alias("full_table_name")
-    chosen = nodes.select(table).distinct().orderBy("full_table_name").limit(max_tables)
+    chosen = nodes.select(table).distinct()
+    if max_tables is not None:
+        chosen = chosen.orderBy("full_table_name").limit(max_tables)
     out = edges
     for end in ("source_table_key", "target_table_key"):
         out = out.join(chosen.withColumnRenamed("full_table_name", end), end, "left_semi")

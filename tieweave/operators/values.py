@@ -25,10 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tieweave.functions.text import (
-    LONG_TEXT,
+    has_digit,
+    has_special,
+    identifier_hits,
+    is_key_of_long,
     is_long,
     normalised,
     sql_digest,
+    sql_has_digit,
+    sql_has_special,
+    sql_identifier_hits,
+    sql_is_long,
     sql_strip_blanks,
     sql_text_key,
     text_key,
@@ -37,7 +44,7 @@ from tieweave.session import materialize
 from tieweave.sources.catalog import Catalog
 
 VALUE_KEYS = ("k_num", "k_dbl", "k_ts", "k_txt")
-LONG_TYPE = "struct<len:int,low:string,trim:string,norm:string>"
+LONG_TYPE = "struct<len:int,low:string,trim:string,norm:string,hits:int,digit:boolean,special:boolean>"
 KEY_TYPES = {
     "k_num": "bigint", "k_dbl": "double", "k_ts": "timestamp_ntz", "k_txt": "string", "long": LONG_TYPE,
 }
@@ -55,14 +62,19 @@ def _long_forms(value: str, with_forms: bool) -> str:
     Lower case never shortens a text, so the form of a long text is long as well.  No
     lambda functions here: they would take the scan out of generated code.
     """
-    low = trim = norm = "CAST(NULL AS STRING)"
+    low = trim = norm = hits = digit = special = "NULL"
     if with_forms:
         stripped = sql_strip_blanks(value)
         plain = sql_strip_blanks(f"lower({value})")
         low = sql_digest(f"lower({value})")
         trim = sql_text_key(f"trim({value})")
-        norm = f"if(length({stripped}) > {LONG_TEXT}, {sql_digest(plain)}, {sql_text_key(plain)})"
-    return f"named_struct('len', length(rtrim({value})), 'low', {low}, 'trim', {trim}, 'norm', {norm})"
+        norm = f"if({sql_is_long(stripped)}, {sql_digest(plain)}, {sql_text_key(plain)})"
+        hits, digit, special = sql_identifier_hits(value), sql_has_digit(value), sql_has_special(value)
+    fields = {
+        "len": f"length(rtrim({value}))", "low": low, "trim": trim, "norm": norm, "hits": hits, "digit": digit,
+        "special": special,
+    }
+    return f"named_struct({', '.join(f'{name!r}, {field}' for name, field in fields.items())})"
 
 
 def _keys(value: str, dtype: T.DataType, with_forms: bool) -> dict[str, str]:
@@ -92,7 +104,7 @@ def _keys(value: str, dtype: T.DataType, with_forms: bool) -> dict[str, str]:
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         return {
             "k_txt": sql_text_key(value),
-            "long": f"if(length({value}) > {LONG_TEXT}, {_long_forms(value, with_forms)}, NULL)",
+            "long": f"if({sql_is_long(value)}, {_long_forms(value, with_forms)}, NULL)",
         }
     if isinstance(dtype, T.BinaryType):
         return {"k_txt": sql_text_key(f"hex({value})")}
@@ -101,12 +113,17 @@ def _keys(value: str, dtype: T.DataType, with_forms: bool) -> dict[str, str]:
     return {"k_txt": sql_text_key(f"CAST({value} AS STRING)")}
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _exploded(df: DataFrame, columns: list[dict], with_forms: bool) -> DataFrame:
     """One row per (row, column) of a table; only the listed columns are read."""
     types = {f.name: f.dataType for f in df.schema.fields}
     structs = []
     for c in columns:
-        keys = _keys(f"`{c['column_name']}`", types[c["column_name"]], with_forms)
+        keys = _keys(quoted(c["column_name"]), types[c["column_name"]], with_forms)
         fields = "".join(f", '{k}', CAST({keys.get(k, 'NULL')} AS {t})" for k, t in KEY_TYPES.items())
         structs.append(f"named_struct('col_id', {c['col_id']}{fields})")
     return df.selectExpr(f"inline(array({', '.join(structs)}))")
@@ -171,10 +188,29 @@ def text_length() -> Column:
     return F.coalesce("long.len", F.length(F.rtrim("k_txt")))
 
 
+def identifier_count() -> Column:
+    """How many identifier patterns a text matches."""
+    return F.coalesce("long.hits", identifier_hits(F.col("k_txt")))
+
+
+def text_has_digit() -> Column:
+    return F.coalesce("long.digit", has_digit(F.col("k_txt")))
+
+
+def text_has_special() -> Column:
+    return F.coalesce("long.special", has_special(F.col("k_txt")))
+
+
+def text_order() -> Column:
+    """One order for texts of any length, by SHA-256: what is picked in it is picked at random."""
+    key = F.col("k_txt")
+    return F.when(is_key_of_long(key), F.substring_index(key, ":", -1)).otherwise(F.sha2(key, 256)).asc()
+
+
 def value_order() -> list[Column]:
     """A total order of the values of one column."""
     number = F.coalesce("k_dbl", F.col("k_num").cast("double"))
-    return [number.asc_nulls_last(), F.col("k_num").asc(), F.col("k_ts").asc(), F.col("k_txt").asc()]
+    return [number.asc_nulls_last(), F.col("k_num").asc(), F.col("k_ts").asc(), text_order()]
 
 
 def rank_values(rows: DataFrame, groups: tuple[str, ...], order: list[Column], limit: int) -> DataFrame:
@@ -202,7 +238,7 @@ def restore_long_texts(selection: DataFrame, catalog: Catalog) -> DataFrame:
     by_table: dict[str, list[str]] = {}
     for c in catalog.column_rows():
         if c["col_id"] in ids:
-            text = f"named_struct('col_id', {c['col_id']}, 'value_str', CAST(`{c['column_name']}` AS STRING))"
+            text = f"named_struct('col_id', {c['col_id']}, 'value_str', CAST({quoted(c['column_name'])} AS STRING))"
             by_table.setdefault(c["table_key"], []).append(text)
     if not by_table:
         return chosen.withColumn("value_str", F.col("k_txt"))

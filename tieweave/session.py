@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,10 @@ def build_session(app: str = "tieweave", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch one in local mode only."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, which only local mode may leave it, a scratch one that goes with the process.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -39,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="tieweave-")
+        atexit.register(shutil.rmtree, _own_folders[app], ignore_errors=True)
     return _own_folders[app]
 
 

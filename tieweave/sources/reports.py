@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tieweave.operators.responses import one_description
+
+# Versions of the formats, and the defaults of fields that an edge lacks.
 REPORT_VERSION = "1.0.0"
 SAVE_VERSION = "0.1.0"
 
@@ -40,7 +43,7 @@ def tables(nodes: DataFrame, annotations: DataFrame, descriptions: DataFrame | N
     notes = annotations.select(F.col("key").alias("node_key"), F.col("text").alias("annotation"))
     rows = nodes.join(notes, "node_key", "left").withColumn("annotation", F.coalesce("annotation", F.lit("")))
     if descriptions is not None:
-        described = descriptions.groupBy(F.col("table").alias("described")).agg(
+        described = one_description(descriptions).groupBy(F.col("table").alias("described")).agg(
             F.map_from_entries(F.collect_list(F.struct("column", "description"))).alias("all_descriptions")
         )
         rows = rows.join(described, F.concat_ws(".", "schema_name", "table_name") == F.col("described"), "left")
