@@ -95,6 +95,8 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
     for chars, letter in (("a-z", "a"), ("A-Z", "A"), ("0-9", "0"), ("^aA0", "-")):
         classes = F.regexp_replace(classes, f"[{chars}]", letter)
     runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
+    # Written, so that the join below is not tied to the aggregation and a frequent value can be split.
+    covered = materialize(covered, "coverage")
     number = lambda condition: condition.cast("double")
     wide = found.join(covered.withColumnRenamed("value", "of_value"), value == F.col("of_value"), "left").drop("of_value")
     return wide.select(
@@ -171,7 +173,8 @@ def scan(docs: DataFrame) -> DataFrame:
     read.
     """
     docs = docs.select("doc_id", "text")
-    featured = materialize(labels_by_rule(with_features(candidates(docs), dictionary(docs))), "findings")
+    found = materialize(candidates(docs), "candidates")
+    featured = materialize(labels_by_rule(with_features(found, dictionary(docs))), "findings")
     return fit(featured).judged(featured)
 
 
