@@ -489,9 +489,10 @@ def next_versions(spark, sf_dir):
 
 
 def _confirmed_edges(spark, sf_dir) -> DataFrame:
-    return stored_graphs.record_confirmations(
-        *[given.derived(spark, sf_dir, sql) for sql in (given.STORED_EDGES, given.CONFIRMERS, given.CONFIRMATION_LOG)]
-    )
+    """Counts of the stored edges after a log; the stored relations are tables, so they are written."""
+    stored = (given.STORED_EDGES, given.CONFIRMERS, given.CONFIRMATION_LOG)
+    parts = [materialize(given.derived(spark, sf_dir, sql), "stored") for sql in stored]
+    return materialize(stored_graphs.record_confirmations(*parts), "confirmed")
 
 
 @query
@@ -531,10 +532,10 @@ def context_edges(spark, sf_dir):
 
 def _drift(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     now_t, now_c, was_t, was_c = (
-        given.derived(spark, sf_dir, sql)
+        materialize(given.derived(spark, sf_dir, sql), "snapshot")
         for sql in (given.CURRENT_TABLES, given.CURRENT_COLUMNS, given.PREVIOUS_TABLES, given.PREVIOUS_COLUMNS)
     )
-    changes = drift.column_changes(now_t, now_c, was_t, was_c)
+    changes = materialize(drift.column_changes(now_t, now_c, was_t, was_c), "changes")
     return changes, drift.table_verdicts(now_t, was_t, changes)
 
 

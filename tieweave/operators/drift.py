@@ -17,21 +17,29 @@ def snapshot_columns(inventory: DataFrame) -> DataFrame:
     )
 
 
+def _sides(current: DataFrame, previous: DataFrame) -> DataFrame:
+    return current.withColumn("is_new", F.lit(True)).unionByName(previous.withColumn("is_new", F.lit(False)))
+
+
 def column_changes(
     current_tables: DataFrame, current: DataFrame, previous_tables: DataFrame, previous: DataFrame
 ) -> DataFrame:
     """One row per changed column of the tables in both snapshots.
 
-    A column may change its type and its nullability at once, which gives two rows.
+    A column may change its type and its nullability at once, which gives two rows.  Both
+    snapshots are one union with the side on each row, so each is read once.
     """
-    common = current_tables.select("table_key").join(previous_tables.select("table_key"), "table_key", "left_semi")
-    new = current.join(common, "table_key", "left_semi").select(
-        "table_key", "column_name", F.col("data_type").alias("new_type"), F.col("is_nullable").alias("new_null")
-    )
-    old = previous.join(common, "table_key", "left_semi").select(
-        "table_key", "column_name", F.col("data_type").alias("old_type"), F.col("is_nullable").alias("old_null")
-    )
-    both = new.join(old, ["table_key", "column_name"], "full_outer")
+    is_new, fields = F.col("is_new"), ("data_type", "is_nullable")
+    tables = _sides(current_tables.select("table_key"), previous_tables.select("table_key"))
+    common = tables.groupBy("table_key").agg(F.count_distinct("is_new").alias("sides")).where("sides = 2")
+    columns = ("table_key", "column_name", *fields)
+    both = _sides(current.select(*columns), previous.select(*columns)).groupBy("table_key", "column_name").agg(
+        *[
+            F.max(F.when(side, F.col(field))).alias(f"{when}_{short}")
+            for when, side in (("new", is_new), ("old", ~is_new))
+            for field, short in zip(fields, ("type", "null"))
+        ]
+    ).join(common.select("table_key"), "table_key", "left_semi")
 
     def change(kind: str, old_value, new_value):
         text = "string"
@@ -65,11 +73,22 @@ def column_changes(
 
 
 def table_verdicts(current_tables: DataFrame, previous_tables: DataFrame, changes: DataFrame) -> DataFrame:
-    """Verdict per table: new, removed, columns_changed, row_count_changed or unchanged."""
-    counts = changes.groupBy("table_key").agg(F.count(F.lit(1)).alias("column_change_count"))
-    new = current_tables.select("table_key", F.lit(True).alias("is_now"), F.col("row_count").alias("new_row_count"))
-    old = previous_tables.select("table_key", F.lit(True).alias("was"), F.col("row_count").alias("old_row_count"))
-    rows = new.join(old, "table_key", "full_outer").join(counts, "table_key", "left")
+    """Verdict per table: new, removed, columns_changed, row_count_changed or unchanged.
+
+    Tables of both snapshots and their changes are one union, grouped once.
+    """
+    is_new = F.col("is_new")
+    tables = _sides(current_tables.select("table_key", "row_count"), previous_tables.select("table_key", "row_count"))
+    changed = changes.select(
+        "table_key", F.lit(None).cast("long").alias("row_count"), F.lit(None).cast("boolean").alias("is_new")
+    )
+    rows = tables.unionByName(changed).groupBy("table_key").agg(
+        F.max(F.when(is_new, True)).alias("is_now"),
+        F.max(F.when(~is_new, True)).alias("was"),
+        F.max(F.when(is_new, F.col("row_count"))).alias("new_row_count"),
+        F.max(F.when(~is_new, F.col("row_count"))).alias("old_row_count"),
+        F.count_if(is_new.isNull()).alias("column_change_count"),
+    )
     before, after = F.coalesce("old_row_count", F.lit(0)), F.coalesce("new_row_count", F.lit(0))
     verdict = (
         F.when(F.col("was").isNull(), "new")
