@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 from tieweave.functions.families import declared_family, spark_family, type_decision
 from tieweave.functions.text import node_parts, short_label
 from tieweave.sources.catalog import Catalog, columns_from_declared, inventory, list_databases
-from tieweave.sources.jdbc import base_tables, partition_row_counts, resolve_foreign_keys
+from tieweave.sources.jdbc import base_tables, bracketed, index_keys, partition_row_counts, resolve_foreign_keys
 
 
 def test_declared_families(spark):
@@ -110,16 +110,28 @@ def test_declared_columns_and_system_views(spark):
     assert partition_row_counts(partitions, names).collect() == [Row(table_key="s.a", row_count=11)]
     constraints = spark.createDataFrame([(9, "fk1")], "object_id int, name string")
     parts = spark.createDataFrame(
-        [(9, 1, 1, 2, 2)],
+        [(9, 1, 1, 2, 5)],
         "constraint_object_id int, parent_object_id int, parent_column_id int, referenced_object_id int, referenced_column_id int",
     )
+    # The second table has lost columns 2 to 4, so its second column has the id 5.
     columns = spark.createDataFrame(
-        [("s", "a", "x", 1), ("s", "b", "y", 1), ("s", "b", "z", 2)],
-        "TABLE_SCHEMA string, TABLE_NAME string, COLUMN_NAME string, ORDINAL_POSITION int",
+        [(1, 1, "x"), (2, 1, "y"), (2, 5, "z"), (7, 1, "elsewhere")], "object_id int, column_id int, name string"
     )
     fk = resolve_foreign_keys(constraints, parts, columns, names).collect()
     assert fk == [Row(constraint_name="fk1", source_schema="s", source_table="a", source_column="x",
                       target_schema="s", target_table="b", target_column="z")]
+    indexes = spark.createDataFrame(
+        [(2, 1, "pk_b", True, True), (2, 0, None, False, False)],
+        "object_id int, index_id int, name string, is_primary_key boolean, is_unique boolean",
+    )
+    places = spark.createDataFrame(
+        [(2, 1, 5, 1), (2, 1, 1, 2), (2, 1, 1, 0)], "object_id int, index_id int, column_id int, key_ordinal int"
+    )
+    keys = index_keys(indexes, places, columns, names).collect()
+    assert [(r.table_key, r.key_name, r.column_name, r.key_ordinal, r.is_primary_key) for r in keys] == [
+        ("s.b", "pk_b", "z", 1, True), ("s.b", "pk_b", "y", 2, True)
+    ]
+    assert bracketed("a]b") == "[a]]b]"
 
 
 def test_labels_and_parts(spark):

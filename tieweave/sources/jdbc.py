@@ -48,10 +48,15 @@ class JdbcSource:
         return resolve_foreign_keys(
             self.read("sys.foreign_keys"),
             self.read("sys.foreign_key_columns"),
-            self.read("INFORMATION_SCHEMA.COLUMNS"),
+            self.read("sys.columns"),
             self.object_names(),
         )
 
+    def keys(self) -> DataFrame:
+        return index_keys(
+            self.read("sys.indexes"), self.read("sys.index_columns"), self.read("sys.columns"), self.object_names()
+        )
+
     def object_names(self) -> DataFrame:
         tables = self.read("sys.tables").select("object_id", "schema_id", F.col("name").alias("table_name"))
         schemas = self.read("sys.schemas").select("schema_id", F.col("name").alias("schema_name"))
@@ -61,15 +66,30 @@ class JdbcSource:
         return partition_row_counts(self.read("sys.partitions"), self.object_names())
 
     def catalog(self, **partitioning) -> Catalog:
-        """The remote tables as lazy DataFrames; ``partitioning`` goes to ``spark.read.jdbc``."""
+        """The remote tables as lazy DataFrames with their declared keys and nullability.
+
+        ``partitioning`` goes to ``spark.read.jdbc`` for every table; without it a table is read
+        by one task.  Only the descriptions of the tables come to the driver.
+        """
         frames = {
             r["table_key"]: self.spark.read.jdbc(
-                self.url, f"[{r['schema_name']}].[{r['table_name']}]",
+                self.url, f"{bracketed(r['schema_name'])}.{bracketed(r['table_name'])}",
                 properties=self.properties, **partitioning,
             )
             for r in self.tables().toLocalIterator()
         }
-        return Catalog(self.spark, frames)
+        known = self.columns().select("schema_name", "table_name", "column_name", "is_nullable")
+        return Catalog(
+            self.spark,
+            frames,
+            tuple(r.asDict() for r in self.keys().toLocalIterator()),
+            tuple(r.asDict() for r in self.foreign_keys().toLocalIterator()),
+            {(f"{s}.{t}", c): n for s, t, c, n in known.toLocalIterator()},
+        )
+
+
+def bracketed(name: str) -> str:
+    return "[" + name.replace("]", "]]") + "]"
 
 
 def base_tables(raw: DataFrame) -> DataFrame:
@@ -94,17 +114,32 @@ def partition_row_counts(partitions: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def _named_columns(columns: DataFrame, names: DataFrame) -> DataFrame:
+    own = columns.select("object_id", "column_id", F.col("name").alias("column_name"))
+    return own.join(names, "object_id")
+
+
+def index_keys(indexes: DataFrame, parts: DataFrame, columns: DataFrame, names: DataFrame) -> DataFrame:
+    """One row per column of an index, named, with its place in it; included columns are none of it."""
+    key = ["object_id", "index_id"]
+    listed = indexes.select(*key, F.col("name").alias("key_name"), "is_primary_key", "is_unique")
+    places = parts.where(F.col("key_ordinal") > 0).select(*key, "column_id", F.col("key_ordinal").cast("int"))
+    rows = listed.join(places, key).join(_named_columns(columns, names), ["object_id", "column_id"])
+    return rows.select(
+        F.concat_ws(".", "schema_name", "table_name").alias("table_key"), "key_name",
+        F.col("is_primary_key").cast("boolean"), F.col("is_unique").cast("boolean"), "column_name", "key_ordinal",
+    ).orderBy("table_key", "key_name", "key_ordinal")
+
+
 def resolve_foreign_keys(
     constraints: DataFrame, parts: DataFrame, columns: DataFrame, names: DataFrame
 ) -> DataFrame:
-    """One row per column of a foreign key, with both sides named."""
-    cols = columns.select(
-        F.col("TABLE_SCHEMA").alias("schema_name"),
-        F.col("TABLE_NAME").alias("table_name"),
-        F.col("COLUMN_NAME").alias("column_name"),
-        F.col("ORDINAL_POSITION").alias("column_id"),
-    )
-    placed = names.join(cols, ["schema_name", "table_name"])
+    """One row per column of a foreign key, with both sides named.
+
+    Columns go by the id that the server gave them (``sys.columns``), which is not their
+    position once a column has been dropped.
+    """
+    placed = _named_columns(columns, names)
 
     def side(role: str, object_col: str, column_col: str) -> DataFrame:
         return placed.select(
