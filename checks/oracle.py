@@ -174,6 +174,19 @@ FROM {_inventory_rows('ordinal')} JOIN counts USING (table_key)
 """
 
 
+@oracle
+def connected_inventory() -> str:
+    rows = []
+    for name, tables in (("east", sorted(SCHEMAS)), ("west", ["customer", "orders"])):
+        for t in tables:
+            fks = [f"{name}.main" for s, *_ in given.FOREIGN_KEYS if s == t]
+            rows.append(
+                f"SELECT '{name}.main.{t}' AS table_key, '{name}.main' AS schema_name, count(*) AS row_count, "
+                f"'{given.PRIMARY_KEYS.get(t, '')}' AS primary_key, '{','.join(fks)}' AS target_schemas FROM {t}"
+            )
+    return union(rows)
+
+
 @oracle
 def graph_nodes() -> str:
     return f"""

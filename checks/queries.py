@@ -74,6 +74,17 @@ def table_inventory(spark, sf_dir):
     )
 
 
+@query
+def connected_inventory(spark, sf_dir):
+    """The given tables under two connections, in one catalogue."""
+    c = given.catalog(spark, sf_dir)
+    rows = Catalog.of_connections(spark, {"east": c, "west": c.only(["main.orders", "main.customer"])}).inventory()
+    return rows.select(
+        "table_key", "schema_name", "row_count", F.array_join("primary_key", ",").alias("primary_key"),
+        F.array_join(F.transform("foreign_keys", lambda k: k["target_schema"]), ",").alias("target_schemas"),
+    )
+
+
 @query
 def graph_nodes(spark, sf_dir):
     rows = edges.graph_nodes(given.catalog(spark, sf_dir).inventory(), "conn1", "shop")

@@ -139,3 +139,15 @@ def test_labels_and_parts(spark):
     assert [r.l for r in rows.select(short_label(F.col("k")).alias("l")).collect()] == ["s.t", "s.t", "t"]
     found = [tuple(r.p) for r in rows.select(node_parts(F.col("k")).alias("p")).collect()]
     assert found == [("c", "s", "t"), ("", "s", "t"), ("", "", "")]
+
+
+def test_pairs_across_connections(spark):
+    from tieweave.operators.candidates import candidate_pairs
+    from tieweave.plans.analysis import run_analysis
+
+    one = Catalog(spark, {"dbo.t": spark.range(5).toDF("user_id")})
+    two = Catalog(spark, {"dbo.t": spark.range(3, 9).toDF("user_id")})
+    both = Catalog.of_connections(spark, {"a": one, "b": two})
+    pair = candidate_pairs(both.columns_frame()).first()
+    assert (pair.source_table, pair.target_table, pair.match_type) == ("a.dbo.t", "b.dbo.t", "exact_name")
+    assert run_analysis(both, with_strings=False).value_evidence.first().exact_overlap_count == 2

@@ -137,6 +137,26 @@ class Catalog:
                 )
         return rows
 
+    @classmethod
+    def of_connections(cls, spark: SparkSession, catalogs: Mapping[str, "Catalog"]) -> "Catalog":
+        """One catalogue over several connections; a table's key begins with its connection's name.
+
+        So tables of equal names stay apart, and pairs across connections can be told.  Each
+        DataFrame reads from its own source.
+        """
+
+        def moved(name: str, row: dict, *fields: str) -> dict:
+            return {**row, **{f: f"{name}.{row[f]}" for f in fields}}
+
+        parts = list(catalogs.items())
+        return cls(
+            spark,
+            {f"{name}.{key}": frame for name, c in parts for key, frame in c.tables.items()},
+            tuple(moved(name, k, "table_key") for name, c in parts for k in c.keys),
+            tuple(moved(name, k, "source_schema", "target_schema") for name, c in parts for k in c.foreign_keys),
+            {(f"{name}.{key}", column): n for name, c in parts for (key, column), n in c.nullable.items()},
+        )
+
     # -- relations
 
     def tables_frame(self) -> DataFrame:
