@@ -129,7 +129,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     patterns = rows.groupBy("pattern").agg(F.min("tokens").alias("tokens"))
     default = "block" if 2 * counts[0] > counts[1] else "allow"
     if counts[1]:
-        mined = matched(patterns, mine(labelled.select("tokens", "block")))
+        # Written, so that the join is not tied to the aggregation and a frequent pattern can be split.
+        mined = materialize(matched(patterns, mine(labelled.select("tokens", "block"))), "mined")
         rows = rows.join(mined, "pattern", "left")
     else:
         rows = rows.withColumn("mined", F.lit(None).cast("string"))
