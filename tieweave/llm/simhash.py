@@ -287,8 +287,13 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     )
     candidates = materialize(across.union(inside), "candidates")
     involved = candidates.select(F.col("a_lead").alias("wording")).union(candidates.select("b_lead")).distinct()
+    # One document's text for each wording: met by id and wording, so many copies are no one task's.
+    first = nodes.join(involved, "wording", "left_semi").select(F.col("wording").alias("of"), "first_id")
     texts = materialize(
-        prints.select("wording", "text").join(involved, "wording", "left_semi").groupBy("wording").agg(F.min("text").alias("text")),
+        prints.select("doc_id", "wording", "text")
+        .join(first, (F.col("wording") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .groupBy("wording")
+        .agg(F.min("text").alias("text")),
         "texts",
     )
 
