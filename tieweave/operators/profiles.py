@@ -48,7 +48,8 @@ def column_profiles(values: DataFrame, columns: DataFrame) -> DataFrame:
     """Counts, ratios and range of every column; one aggregation over the value relation."""
     present = has_value()
     # Decimals that neither a bigint nor a double holds; texts of other columns are no numbers here.
-    numbers = F.broadcast(columns.where(wants_minmax(F.col("family")) & F.col("native_type").startswith("decimal")).select("col_id", F.lit(True).alias("is_decimal")))
+    decimals = columns.where(wants_minmax(F.col("family")) & F.col("native_type").startswith("decimal"))
+    numbers = decimals.select("col_id", F.lit(True).alias("is_decimal"))
     values = values.join(numbers, "col_id", "left")
     wide = F.when(F.col("is_decimal") & F.col("k_txt").isNotNull(), decimal_order(F.col("k_txt")))
     counts = values.groupBy("col_id").agg(
