@@ -140,3 +140,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert len({roots[n] for n in range(301)}) == 1
     assert len({roots[n] for n in [2000, *range(1000, 1200)]}) == 1
     assert roots[0] != roots[2000]
+
+
+def passage_rows(rng, shared, own, changed, pairs):
+    """Pairs of near copies that all hold one passage; ids n and 1000 + n."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [word() for _ in range(shared)]
+    rows = []
+    for n in range(pairs):
+        mine = [word() for _ in range(own)]
+        other = mine[: own - changed] + [word() for _ in range(changed)]
+        rows += [(n, " ".join(passage + mine)), (1000 + n, " ".join(passage + other))]
+    return rows
+
+
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    for shared in (120, 140):  # of 200 words
+        rows = passage_rows(random.Random(shared), shared, 200 - shared, 16, 150)
+        prints = {i: simhash.simhash(simhash.shingle_hashes(t, 5)) for i, t in rows}
+        within = {n for n in range(150) if (prints[n] ^ prints[1000 + n]).bit_count() <= 13}
+        kept = {r.doc_id for r in simhash.near_copies_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        print("shared", shared, "pairs", len(within), "found", sum(1000 + n not in kept for n in within))
+        assert kept >= set(range(150)) and not any(1000 + n in kept for n in within)

@@ -19,6 +19,8 @@ from tieweave.session import materialize
 #: Fingerprints in a tile at most, and the number of shares of the second side of a comparison.
 TILE = 4096
 SHARES = 8
+#: Rows of either side of a block at most, whose texts one task holds together.
+BLOCK = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _DIGIT = 128  # of a packed class, above the largest count of bits
 
@@ -146,21 +148,18 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tupl
     return i, j if same else j - n, d
 
 
-def links(points: DataFrame, radius: int, segments: int, buckets: int = 0) -> DataFrame:
-    """Links between the distinct ``points`` (print, bucket): (a, a_bucket, b, b_bucket, bits).
+def tile_pairs(points: DataFrame, radius: int, segments: int, buckets: int = 0) -> DataFrame:
+    """Pairs of tiles of ``points`` (print, bucket and any other longs) that may hold near fingerprints.
 
-    Two fingerprints at most ``radius`` bits apart have population counts at most ``radius``
-    apart, in whole and in the sum over ``segments`` equal parts of the 64 bits; buckets may be
-    ``buckets`` apart.  Tiles hold up to 4096 fingerprints of equal counts and bucket.  A tile meets
-    those whose counts are near enough, found by an equi-join on the counts, and is compared with
-    them bit for bit by exclusive or and bit count.
-
-    Of the links inside a pair of tiles a minimum spanning forest is put out: it joins the same
-    rows at every distance, and has fewer links than the tiles have rows, however many alike rows
-    they hold.
+    Gives (a_kind, a_tile, a_prints, b_kind, b_tile, b_prints).  Two fingerprints at most ``radius`` bits
+    apart have population counts at most ``radius`` apart, in whole and in the sum over ``segments`` equal
+    parts of the 64 bits; buckets may be ``buckets`` apart.  Tiles hold up to 4096 points of equal counts
+    and bucket, each as its print and other longs.  A tile meets those whose counts are near enough,
+    found by an equi-join on the counts.
     """
     spark = points.sparkSession
     width = 64 // segments
+    names = ["print", *[c for c in points.columns if c not in ("print", "bucket")]]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, kind = TaskContext.get().partitionId() << 32, [], None
@@ -174,16 +173,16 @@ def links(points: DataFrame, radius: int, segments: int, buckets: int = 0) -> Da
 
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
-            prints = batch.column("print").to_numpy()
+            prints = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
             cuts = np.flatnonzero(np.diff(kinds)) + 1
             for run, begin in zip(np.split(prints, cuts), np.concatenate([[0], cuts])):
-                if not run.size:
+                if not len(run):
                     continue
                 if held and kinds[begin] != kind:
                     yield tile()
                     held, at = [], at + 1
                 kind = int(kinds[begin])
-                while run.size:
+                while len(run):
                     room = TILE - sum(map(len, held))
                     held.append(run[:room])
                     run = run[room:]
@@ -198,9 +197,9 @@ def links(points: DataFrame, radius: int, segments: int, buckets: int = 0) -> Da
     for s in range(segments):
         part = F.shiftrightunsigned("print", s * width).bitwiseAND(F.lit(mask)) if segments > 1 else F.col("print")
         kind = kind * _DIGIT + F.bit_count(part).cast("long")
-    sorted_points = points.select(kind.alias("kind"), "print").repartitionByRange(
-        shuffle_partitions(spark), "kind", "print"
-    ).sortWithinPartitions("kind", "print")
+    sorted_points = points.select(kind.alias("kind"), *names).repartitionByRange(
+        shuffle_partitions(spark), "kind", *names
+    ).sortWithinPartitions("kind", *names)
     tiles = materialize(sorted_points.mapInArrow(build, "kind long, tile long, prints binary"), "tiles")
 
     steps = F.array(*[F.lit(x) for x in _offsets(buckets, segments, radius)])
@@ -214,6 +213,16 @@ def links(points: DataFrame, radius: int, segments: int, buckets: int = 0) -> Da
         F.explode(F.array(*[F.lit(x).cast("long") for x in range(SHARES)])).alias("share"),
     )
     pairs = first.join(second, ["b_kind", "share"]).where((F.col("step") != 0) | (F.col("a_tile") <= F.col("b_tile")))
+    return pairs.select("a_kind", "a_tile", "a_prints", "b_kind", "b_tile", "b_prints")
+
+
+def links(points: DataFrame, radius: int, segments: int, buckets: int = 0) -> DataFrame:
+    """Links between the distinct ``points`` (print, bucket): (a, a_bucket, b, b_bucket, bits).
+
+    Pairs of tiles (``tile_pairs``) are compared bit for bit by exclusive or and bit count.  Of the
+    links inside a pair of tiles a minimum spanning forest is put out: it joins the same rows at
+    every distance, and has fewer links than the tiles have rows, however many alike rows they hold.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = _DIGIT**segments
@@ -232,10 +241,104 @@ def links(points: DataFrame, radius: int, segments: int, buckets: int = 0) -> Da
                         names=["a", "a_bucket", "b", "b_bucket", "bits"],
                     )
 
-    pairs = pairs.select("a_kind", "a_tile", "a_prints", "b_kind", "b_tile", "b_prints")
+    pairs = tile_pairs(points.select("print", "bucket"), radius, segments, buckets)
     return pairs.mapInArrow(compare, "a long, a_bucket int, b long, b_bucket int, bits int")
 
 
+def open_blocks(points: DataFrame, radius: int, buckets: int) -> DataFrame:
+    """Blocks of the ``points`` (print, bucket, tag, class) that are near one of another class.
+
+    Gives (block, second, print, tag).  A block holds at most ``BLOCK`` rows of either side; each pair
+    of points of two classes at most ``radius`` bits apart is in one block, on its two sides or, if no
+    row of the block is a second one, on the same.  So rows go out, not pairs.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a_tile", "a_prints", "b_tile", "b_prints")]
+            for a_tile, a, b_tile, b in zip(*columns):
+                left, right = (np.frombuffer(x, dtype="<u8").reshape(-1, 3) for x in (a, b))
+                for x in range(0, len(left), BLOCK):
+                    some = left[x : x + BLOCK]
+                    for y in range(x if a_tile == b_tile else 0, len(right), BLOCK):
+                        other = right[y : y + BLOCK]
+                        near = np.bitwise_count(some[:, None, 0] ^ other[None, :, 0]) <= radius
+                        near &= some[:, None, 2] != other[None, :, 2]
+                        if not near.any():
+                            continue
+                        rows = some[near.any(axis=1)]
+                        sides = np.zeros(len(rows), bool)
+                        if a_tile != b_tile or x != y:
+                            rows = np.concatenate([rows, other[near.any(axis=0)]])
+                            sides = np.concatenate([sides, np.ones(len(rows) - len(sides), bool)])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([f"{a_tile}-{b_tile}-{x}-{y}"] * len(rows)), pa.array(sides),
+                             pa.array(rows[:, 0].view(np.int64)), pa.array(rows[:, 1].view(np.int64))],
+                            names=["block", "second", "print", "tag"],
+                        )
+
+    pairs = tile_pairs(points.select("print", "bucket", "tag", "class"), radius, 1, buckets)
+    return pairs.mapInArrow(compare, "block string, second boolean, print long, tag long")
+
+
+def links_of_block(rows: list[tuple], words: int, similarity: float) -> list[tuple[str, str]]:
+    """Verified links that join what all links of a block join; rows are (second, wording, print, class,
+    reach, text).
+
+    Every pair within ``reach`` bits whose wordings are not yet in one class is verified; only those
+    that are in one already are passed over.
+    """
+    second = np.array([r[0] for r in rows])
+    prints = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
+    reach = rows[0][4]
+    numbers: dict[bytes, int] = {}
+    sets = [np.array([numbers.setdefault(s, len(numbers)) for s in set(shingles(r[5], words))], np.int64) for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    names: dict[int, int] = {}
+    roots = np.array([names.setdefault(r[3], len(names)) for r in rows])
+    held = np.zeros(len(numbers), bool)
+    at = np.arange(len(rows))
+    found = []
+    for i in np.flatnonzero(~second):
+        others = np.flatnonzero(second if second.any() else at > i)
+        near = np.bitwise_count(prints[others] ^ prints[i]) <= reach
+        near &= np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-9
+        others = others[near & (sizes[others] > 0)]
+        held[sets[i]] = True
+        for j in others.tolist():
+            if roots[i] == roots[j]:
+                continue
+            common = int(held[sets[j]].sum())
+            if common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9:
+                found.append((rows[i][1], rows[j][1]))
+                roots[roots == roots[j]] = roots[i]
+        held[sets[i]] = False
+    return found
+
+
+def verified_blocks(blocks: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of ``blocks`` (block, second, wording, print, class, reach, text), see ``links_of_block``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, []
+        for batch in batches:
+            for name, *row in zip(*[batch.column(c).to_pylist() for c in columns]):
+                if name != block and rows:
+                    yield out(links_of_block(rows, words, similarity))
+                    rows = []
+                block = name
+                rows.append(tuple(row))
+        if rows:
+            yield out(links_of_block(rows, words, similarity))
+
+    def out(found: list[tuple[str, str]]) -> pa.RecordBatch:
+        ends = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(end, pa.string()) for end in ends], names=["a", "b"])
+
+    columns = ["block", "second", "wording", "print", "class", "reach", "text"]
+    return blocks.select(*columns).repartition("block").sortWithinPartitions("block").mapInArrow(run, "a string, b string")
+
+
 def near_classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id.
 
@@ -264,7 +367,8 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
 
     Fingerprints of ``words``-word shingles that differ in at most ``radius`` bits are candidates; a
     candidate is a link if the sets of shingles have a Jaccard similarity of ``similarity`` or more.
-    A class is what links reach; its document with the smallest id stays (ties: by wording).
+    A forest of the candidates is verified first; then every candidate whose ends are not in one
+    class of verified links is.  A class is what links reach; its document with the smallest id stays (ties: by wording).
     Texts with the same words, case aside, are one class, so empty and null texts are one.  Rows
     that repeat an id and wording are one document.
     """
@@ -286,16 +390,19 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
         F.col("lead").alias("a_lead"), F.col("wording").alias("b_lead")
     )
     candidates = materialize(across.union(inside), "candidates")
-    involved = candidates.select(F.col("a_lead").alias("wording")).union(candidates.select("b_lead")).distinct()
-    # One document's text for each wording: met by id and wording, so many copies are no one task's.
-    first = nodes.join(involved, "wording", "left_semi").select(F.col("wording").alias("of"), "first_id")
-    texts = materialize(
-        prints.select("doc_id", "wording", "text")
-        .join(first, (F.col("wording") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("wording")
-        .agg(F.min("text").alias("text")),
-        "texts",
-    )
+
+    def texts_of(wordings: DataFrame) -> DataFrame:
+        # One document's text for each wording: met by id and wording, so many copies are no one task's.
+        first = nodes.join(wordings.distinct(), "wording", "left_semi").select(F.col("wording").alias("of"), "first_id")
+        return (
+            prints.select("doc_id", "wording", "text")
+            .join(first, (F.col("wording") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+            .groupBy("wording")
+            .agg(F.min("text").alias("text"))
+        )
+
+    involved = candidates.select(F.col("a_lead").alias("wording")).union(candidates.select("b_lead"))
+    texts = materialize(texts_of(involved), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +419,19 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     verified = paired.select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"), "a_text", "b_text").mapInArrow(
         verify, "a string, b string"
     )
+    verified = materialize(verified, "verified")
+    # The forest took one way between wordings, which may have failed: what is still apart meets again, whole.
     roots = components(verified)
+    apart = leads.select(F.col("lead").alias("wording"), "print", "bucket")
+    apart = apart.join(roots, apart["wording"] == roots["node"], "left").select(
+        "wording", "print", "bucket", F.xxhash64("wording").alias("tag"),
+        F.xxhash64(F.coalesce("root", "wording")).alias("class"),
+    )
+    apart = materialize(apart, "apart")
+    blocks = open_blocks(apart, radius, buckets=1).join(apart.select("print", "tag", "wording", "class"), ["print", "tag"])
+    blocks = materialize(blocks.withColumn("reach", F.lit(radius)), "blocks")
+    late = verified_blocks(blocks.join(texts_of(blocks.select("wording")), "wording"), words, similarity)
+    roots = components(verified.union(late))
     rooted = nodes.join(roots, nodes["wording"] == roots["node"], "left").select(
         "wording", "first_id", F.coalesce("root", "wording").alias("root")
     )
