@@ -162,3 +162,12 @@ def test_near_copies_among_texts_that_share_a_passage(spark):
         kept = {r.doc_id for r in simhash.near_copies_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         print("shared", shared, "pairs", len(within), "found", sum(1000 + n not in kept for n in within))
         assert kept >= set(range(150)) and not any(1000 + n in kept for n in within)
+
+
+def test_every_wording_of_a_fingerprint_stands_for_itself(spark, monkeypatch):
+    """One fingerprint for all: what tells documents apart is their sets alone."""
+    monkeypatch.setattr(simhash, "simhash", lambda hashes: 7)
+    rows = passage_rows(random.Random(4), 0, 100, 4, 40)
+    kept = {r.doc_id for r in simhash.near_copies_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("pairs 40 found", sum(1000 + n not in kept for n in range(40)))
+    assert kept == set(range(40))

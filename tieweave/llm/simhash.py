@@ -367,8 +367,9 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
 
     Fingerprints of ``words``-word shingles that differ in at most ``radius`` bits are candidates; a
     candidate is a link if the sets of shingles have a Jaccard similarity of ``similarity`` or more.
-    A forest of the candidates is verified first; then every candidate whose ends are not in one
-    class of verified links is.  A class is what links reach; its document with the smallest id stays (ties: by wording).
+    A forest of the candidates is verified first, with the smallest wording of each fingerprint for
+    all; then every candidate, of all wordings, whose ends are not in one class of verified links is.
+    A class is what links reach; its document with the smallest id stays (ties: by wording).
     Texts with the same words, case aside, are one class, so empty and null texts are one.  Rows
     that repeat an id and wording are one document.
     """
@@ -422,8 +423,7 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     verified = materialize(verified, "verified")
     # The forest took one way between wordings, which may have failed: what is still apart meets again, whole.
     roots = components(verified)
-    apart = leads.select(F.col("lead").alias("wording"), "print", "bucket")
-    apart = apart.join(roots, apart["wording"] == roots["node"], "left").select(
+    apart = nodes.join(roots, nodes["wording"] == roots["node"], "left").select(
         "wording", "print", "bucket", F.xxhash64("wording").alias("tag"),
         F.xxhash64(F.coalesce("root", "wording")).alias("class"),
     )
