@@ -171,3 +171,49 @@ def test_every_wording_of_a_fingerprint_stands_for_itself(spark, monkeypatch):
     kept = {r.doc_id for r in simhash.near_copies_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     print("pairs 40 found", sum(1000 + n not in kept for n in range(40)))
     assert kept == set(range(40))
+
+
+def planted_copies(rng, lengths, each):
+    """Pairs whose copy has words of its own at an end, so that J is 0.8 or a little more."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, size = [], {}
+    for length in lengths:
+        for _ in range(each):
+            n = len(size)
+            mine = [word() for _ in range(length + 4)]
+            size[n] = length
+            # length of n + c shingles, all n of them shared
+            rows += [(n, " ".join(mine)), (100_000 + n, " ".join(mine + [word() for _ in range(length // 4)]))]
+    return rows, size
+
+
+def recall(spark, rows, size):
+    kept = {r.doc_id for r in simhash.near_copies_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(size)
+    found = {}
+    for n, length in size.items():
+        found.setdefault(length, []).append(100_000 + n not in kept)
+    return {length: sum(x) / len(x) for length, x in found.items()}
+
+
+def test_recall_against_plain_jaccard(spark):
+    rows, size = planted_copies(random.Random(6), (4, 8, 16, 32, 64, 128, 512), 150)
+    texts = dict(rows)
+    for n in size:
+        a, b = (set(plain_shingles(texts[i], 5)) for i in (n, 100_000 + n))
+        assert len(a & b) >= 0.8 * len(a | b)
+    found = recall(spark, rows, size)
+    print("recall", found)
+    assert all(found[length] == 1 for length in (4, 8, 16, 32, 64))
+    assert all(share > 0.8 for share in found.values())
+
+
+def test_a_repeated_line_changes_no_likeness(spark):
+    rng = random.Random(7)
+    rows = []
+    for n in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(n, " ".join(words)), (1000 + n, " ".join(words + words[:12] * 60))]
+    kept = {r.doc_id for r in simhash.near_copies_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("repeated 20 found", sum(1000 + n not in kept for n in range(20)))
+    assert kept == set(range(20))

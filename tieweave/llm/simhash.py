@@ -21,6 +21,8 @@ TILE = 4096
 SHARES = 8
 #: Rows of either side of a block at most, whose texts one task holds together.
 BLOCK = 256
+#: Texts of at most so many distinct shingles meet by shared shingles too, whatever their fingerprints.
+FEW = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _DIGIT = 128  # of a packed class, above the largest count of bits
 
@@ -55,9 +57,9 @@ def length_class(distinct: int) -> int:
     return int(np.floor(np.log(distinct) / np.log(1.25))) if distinct else -2
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, once: bool = False) -> DataFrame:
     """Adds to ``docs`` (text): ``print`` (the 64 bits as a long), ``bucket`` (class of length) and
-    ``wording`` (md5 of the lower-cased words).
+    ``wording`` (md5 of the lower-cased words).  ``once`` counts each distinct shingle once.
 
     Null texts and texts without words have the fingerprint 0.  Columns of ``docs`` with the names
     of these three are left out.
@@ -71,8 +73,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 prints, buckets, wordings = [], [], []
                 for text in part.column("text").to_pylist():
                     hashes = shingle_hashes(text, words)
-                    prints.append(simhash(hashes))
-                    buckets.append(length_class(len(np.unique(hashes))))
+                    distinct = np.unique(hashes)
+                    prints.append(simhash(distinct if once else hashes))
+                    buckets.append(length_class(len(distinct)))
                     plain = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
                     wordings.append(hashlib.md5(plain).hexdigest())
                 yield pa.RecordBatch.from_arrays(
@@ -362,11 +365,57 @@ def near_classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     )
 
 
+def few_blocks(prints: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Blocks (block, second, wording) of the short texts that share a shingle and may be similar.
+
+    ``prints`` are rows with text, bucket and wording, ``classes`` has the class of each wording.  Sets
+    of n shingles as similar as that share one of the first ``n - ceil(similarity n) + 1`` of either,
+    in any one order; the rarest come first here, so a passage that many texts hold makes no blocks.
+    Both sets of a pair are met if the smaller has at most ``FEW`` shingles.  A shingle whose texts
+    are in one class makes none.  Blocks have at most about ``BLOCK`` rows of either side.
+    """
+    most = int(FEW / similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wordings, hashes = [], []
+            for wording, text in zip(batch.column("wording").to_pylist(), batch.column("text").to_pylist()):
+                found = np.unique(shingle_hashes(text, words))
+                if len(found) <= most:
+                    wordings += [wording] * len(found)
+                    hashes.append(found.view(np.int64))
+            hashes = np.concatenate([np.empty(0, np.int64), *hashes])
+            yield pa.RecordBatch.from_arrays([pa.array(wordings, pa.string()), pa.array(hashes)], names=["wording", "shingle"])
+
+    short = prints.where(F.col("bucket").between(0, length_class(most))).select("wording", "text")
+    few = materialize(short.mapInArrow(run, "wording string, shingle long").distinct(), "few")
+    often = materialize(few.groupBy("shingle").agg(F.count("*").alias("n")), "often")
+    ordered = few.join(often, "shingle").groupBy("wording").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    size = F.size("all")
+    first = ordered.select(
+        "wording", F.explode(F.slice("all", F.lit(1), size - F.ceil(size * similarity - 1e-9).cast("int") + 1)).alias("one")
+    )
+    first = first.where("one.n > 1").select("wording", F.col("one.shingle").alias("shingle")).join(
+        classes.select("wording", "class"), "wording"
+    )
+    first = materialize(first, "first")
+    open_ = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"))
+    open_ = materialize(open_.where("a <> b").select("shingle", F.ceil(F.col("n") / BLOCK).alias("parts")), "open")
+    mine = F.pmod(F.xxhash64("wording", "shingle"), F.col("parts"))
+    dealt = first.join(open_, "shingle").select(
+        "wording", "shingle", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    )
+    return dealt.select(
+        F.concat_ws("-", F.lit("few"), "shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"),
+        (F.col("mine") > F.col("other")).alias("second"), "wording",
+    )
+
+
 def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13) -> DataFrame:
     """``docs`` (doc_id, text and any others) without all but one document of each near-copy class.
 
-    Fingerprints of ``words``-word shingles that differ in at most ``radius`` bits are candidates; a
-    candidate is a link if the sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    Fingerprints of the distinct ``words``-word shingles that differ in at most ``radius`` bits are
+    candidates, and so are all texts of which one has at most ``FEW`` distinct shingles; a candidate is a link if the sets of shingles have a Jaccard similarity of ``similarity`` or more.
     A forest of the candidates is verified first, with the smallest wording of each fingerprint for
     all; then every candidate, of all wordings, whose ends are not in one class of verified links is.
     A class is what links reach; its document with the smallest id stays (ties: by wording).
@@ -376,7 +425,7 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     if not 0.8 <= similarity <= 1:
         raise ValueError("classes of length are cut for a similarity of 0.8 or more")
     columns = [c for c in docs.columns if c.lower() not in ("print", "bucket", "wording")]
-    prints = materialize(fingerprints(docs, words), "prints")
+    prints = materialize(fingerprints(docs, words, once=True), "prints")
     nodes = materialize(
         prints.groupBy("wording", "print", "bucket").agg(F.min("doc_id").alias("first_id")), "nodes"
     )
@@ -429,7 +478,10 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     )
     apart = materialize(apart, "apart")
     blocks = open_blocks(apart, radius, buckets=1).join(apart.select("print", "tag", "wording", "class"), ["print", "tag"])
-    blocks = materialize(blocks.withColumn("reach", F.lit(radius)), "blocks")
+    blocks = blocks.select("block", "second", "wording", "print", "class", F.lit(radius).alias("reach"))
+    few = few_blocks(prints, apart, words, similarity).join(apart.select("wording", "print", "class"), "wording")
+    few = few.select("block", "second", "wording", "print", "class", F.lit(64).alias("reach"))
+    blocks = materialize(blocks.union(few), "blocks")
     late = verified_blocks(blocks.join(texts_of(blocks.select("wording")), "wording"), words, similarity)
     roots = components(verified.union(late))
     rooted = nodes.join(roots, nodes["wording"] == roots["node"], "left").select(
