@@ -12,9 +12,22 @@ from pyspark.sql import functions as F
 
 from tieweave.session import materialize
 
-#: A candidate: a long run of key characters, or a quoted value that something is set to.
-CANDIDATE = r"""(?<=[:=]\s{0,2}["'])[^\s"']{8,}(?=["'])|[A-Za-z0-9+/=_\-]{16,}"""
-CREDENTIAL = r"(?i)\b(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key|auth|bearer|credential)s?\b"
+_NAME = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key|auth|bearer|credential)s?"
+#: A candidate: a quoted value that something is set to, a value after a credential's name, or a long run of
+#: key characters that is neither the name before a ``=`` nor a credential's name that something is set to.
+CANDIDATE = (
+    r"""(?<=[:=]\s{0,2}["'])[^\s"']{8,}(?=["'])"""
+    rf"""|(?i:(?<=(?<![a-z0-9]){_NAME}["']?\s{{0,2}}[:=]\s{{0,2}}["']?))[^\s"'`&,;<>(){{}}\[\]=:][^\s"'`&,;<>(){{}}\[\]]{{4,}}[^\s"'`&,;<>(){{}}\[\].:!?]"""
+    r"""|(?=[A-Za-z0-9+/=_\-]{16})(?![A-Za-z0-9_\-]{0,80}+=[A-Za-z0-9+/_\-])"""
+    rf"""(?!(?i:[a-z0-9_\-]{{0,80}}(?<![a-z0-9]){_NAME}["']?\s{{0,2}}[:=]))(?!=\w)[A-Za-z0-9+/=_\-]{{16,}}"""
+)
+#: ``_`` and ``-`` join names as blanks part them.
+CREDENTIAL = rf"(?i)(?<![a-z0-9]){_NAME}(?![a-z0-9])"
+#: Shapes of keys that their makers give them.
+KNOWN = (
+    r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|sk_(live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}.*)$"
+)
 REFERENCE = r"(?i)\b(sha\d*|md5|commit|hash|checksum|digest|uuid|guid|isbn|order|invoice|phone|id|ref)\b"
 FEATURES = (
     "length", "transitions", "digits", "upper", "symbols", "distinct", "hexadecimal", "coverage", "in_path",
@@ -117,14 +130,14 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
 def labels_by_rule(featured: DataFrame) -> DataFrame:
     """Adds ``label``: findings that their neighbours and characters settle; null for the others.
 
-    1: set to or quoted after a credential's name, with letters and digits mixed.  0: no credential's
-    name near, or made of dictionary words or of digits alone.  This stands in where no person has
-    labelled findings.
+    1: set to or quoted after a credential's name, with letters and digits mixed, or of a known key's
+    shape.  0: no credential's name near, or made of dictionary words or of digits alone.  This stands
+    in where no person has labelled findings.
     """
     mixed = (F.col("digits") > 0) & (F.col("digits") < 1) & (F.col("coverage") < 0.5)
     settled = (F.col("credential_near") == 1) & (F.col("assigned") == 1) & mixed
     never = ((F.col("credential_near") == 0) & (F.col("assigned") == 0)) | (F.col("digits") == 1) | (F.col("coverage") > 0.8)
-    return featured.withColumn("label", F.when(settled, 1.0).when(never, 0.0))
+    return featured.withColumn("label", F.when(settled | F.col("value").rlike(KNOWN), 1.0).when(never, 0.0))
 
 
 @dataclass
