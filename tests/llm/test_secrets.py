@@ -158,3 +158,12 @@ def test_each_form_of_a_secret_is_found(spark):
     found = {(r.doc_id, r.value) for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect() if r.secret}
     print("forms found", sum((1000 + n, key) in found for n, (_, key) in enumerate(FORMS)), "of", len(FORMS))
     assert found == set(wanted.items())
+
+
+def test_clean_documents_stay_as_they_are(spark):
+    rng = random.Random(16)
+    rows, wanted = planted(rng, 60)
+    clean = [r for r in rows if r[0] not in wanted] + [(99, "internationalization of " + "-" * 30, "aa", "s", None)]
+    found = secrets.redacted(spark.createDataFrame(clean, SCHEMA)).collect()
+    print("clean documents changed", sum("[SECRET]" in r.text for r in found), "of", len(found))
+    assert {(r.doc_id, r.text) for r in found} == {(r[0], r[1]) for r in clean}

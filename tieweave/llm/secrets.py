@@ -142,14 +142,15 @@ def labels_by_rule(featured: DataFrame) -> DataFrame:
 
 @dataclass
 class Forest:
-    """A fitted forest; without one (labels of one kind or none) every candidate stays a secret."""
+    """A fitted forest; without one (labels of one kind or none) ``labels_by_rule`` judges each candidate."""
 
     model: RandomForestClassificationModel | None
 
     def judged(self, featured: DataFrame) -> DataFrame:
         """Adds ``probability`` and ``secret`` (0.5 or more)."""
         if self.model is None:
-            return featured.withColumn("probability", F.lit(1.0)).withColumn("secret", F.lit(True))
+            ruled = labels_by_rule(featured).withColumn("probability", F.coalesce("label", F.lit(0.0)))
+            return ruled.select(*featured.columns, "probability", (F.col("probability") == 1).alias("secret"))
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_vector").transform(featured)
         scored = self.model.transform(vectors)
         chance = vector_to_array("_chance")[1]
