@@ -118,3 +118,16 @@ def test_capacity_keeps_the_frequent_grams(spark, monkeypatch):
     assert all(0 < m.probability[-1].hashes.size <= 200 for m in model.models)
     found, _ = model.entropies([r[1] for r in rows[:100]])
     assert np.mean([model.languages[int(np.argmin(e))] == r[2] for e, r in zip(found, rows)]) > 0.95
+
+
+def test_small_tables_reject_too(spark):
+    rng = random.Random(21)
+    rows = [(n, invented(rng, 40, LANGUAGES[sorted(LANGUAGES)[n % 3]]), sorted(LANGUAGES)[n % 3]) for n in range(60)]
+    rows += [(200 + n, invented(rng, 40, "wij oe aar"), "dd") for n in range(3)]  # pooled
+    junk = [(5000 + n, invented(rng, 40, "жук лод шир яма пет"), None) for n in range(10)]
+    frame = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    assert set(language.fit(frame).limits) == {"aa", "bb", "cc", "dd"}
+    found = {r.doc_id: r for r in language.predict(frame).collect()}
+    print("junk rejected", sum(found[r[0]].rejected for r in junk), "known", sum(found[r[0]].rejected for r in rows))
+    assert all(found[r[0]].rejected for r in junk)
+    assert not any(found[r[0]].rejected for r in rows if r[2] != "dd")

@@ -30,6 +30,9 @@ MOST_LANGUAGES = 512
 #: as their entropy spreads more.
 REJECTED_FROM = 0.5
 SHORT = 60
+#: Texts that set a language's limit at least, and the folds that languages with fewer are held out in.
+LEAST_CHECKED = 5
+FOLDS = 4
 UNDETERMINED = "und"
 
 _kinds: np.ndarray | None = None
@@ -211,7 +214,10 @@ def fit(docs: DataFrame, learned=None) -> LanguageModel:
 
     ``learned`` is the condition of the rows to learn from (default: all).  All of them are
     counted, but for one in 32 by crc32 of the id.  Those set the limit of rejection, by their mean
-    entropy under their own language and under the nearest other one (alone: a uniform one).  If a language has more different grams than the tables hold
+    entropy under their own language and under the nearest other one (alone: a uniform one).  A language
+    with fewer than ``LEAST_CHECKED`` of them of ``SHORT`` symbols or more is checked in ``FOLDS`` folds of
+    its rows, each under a model of the others; with too few still, the means of all languages count.
+    Only where no language has a text that can be held out is there no limit.  If a language has more different grams than the tables hold
     (``MOST_GRAMS``, ``CELLS``), its rarest ones are left to the lower orders: those below the
     smallest power of two that makes the rest fit.  So what reaches the driver and the tasks is
     bounded, whatever the corpus.
@@ -250,14 +256,39 @@ def fit(docs: DataFrame, learned=None) -> LanguageModel:
         part = found[found["lang"] == lang]
         keys, counts = _merge(part["gram"].to_numpy().view(np.uint64), part["count"].to_numpy())
         model.models.append(CharModel(keys, counts, alphabet))
-    for lang, mean, other, n in (
-        calibration(own.where(checked), model).groupBy("lang").agg(F.avg("own"), F.avg("other"), F.count("*")).collect()
-    ):
-        if n >= 5:
-            model.limits[lang] = (mean, other)
+    sums = _sums(calibration(own.where(checked), model))
+    few = [lang for lang in languages if lang not in sums or sums[lang][2] < LEAST_CHECKED]
+    if few:
+        sums = {lang: known for lang, known in sums.items() if lang not in few}
+        theirs = own.where(F.col("lang").isin(few))
+        fold = F.coalesce(F.floor(F.crc32(F.col("doc_id").cast("string")) / 4) % FOLDS, F.lit(0))
+        for n in range(FOLDS):
+            found = count_grams(theirs.where(fold != n)).where(kept).toPandas()
+            models = dict(zip(languages, model.models))
+            taught = sorted(found["lang"].unique())
+            for lang in taught:
+                part = found[found["lang"] == lang]
+                keys, counts = _merge(part["gram"].to_numpy().view(np.uint64), part["count"].to_numpy())
+                models[lang] = CharModel(keys, counts, alphabet)
+            held = theirs.where((fold == n) & F.col("lang").isin(taught))
+            for lang, new in _sums(calibration(held, LanguageModel(languages, list(models.values())))).items():
+                sums[lang] = tuple(a + b for a, b in zip(sums.get(lang, (0.0, 0.0, 0)), new))
+    pooled = [sum(x) for x in zip(*sums.values())]
+    for lang in languages:
+        mean, other, n = sums.get(lang, (0.0, 0.0, 0))
+        if n < LEAST_CHECKED and pooled:
+            mean, other, n = pooled
+        if n:
+            model.limits[lang] = (mean / n, other / n)
     return model
 
 
+def _sums(checked: DataFrame) -> dict[str, tuple[float, float, int]]:
+    """By language: the sums of its texts' own and other entropies, and their number."""
+    rows = checked.groupBy("lang").agg(F.sum("own"), F.sum("other"), F.count("*")).collect()
+    return {lang: (own, other, n) for lang, own, other, n in rows}
+
+
 def calibration(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(lang, own, other): entropy of known texts of SHORT symbols or more, see ``fit``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
