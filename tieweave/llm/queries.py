@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tieweave.llm import fingerprints, language, mixing, packing, quality, secrets, simhash, tokens, topk, urls
+from tieweave.llm import (
+    conversations,
+    fingerprints,
+    language,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    tokens,
+    topk,
+    urls,
+)
 from tieweave.llm.common import table
 from tieweave.llm.sql import ORACLE  # noqa: F401 - taken from here by the entry
 from tieweave.session import materialize
@@ -85,3 +99,19 @@ def op10_curriculum_mix(spark, sf_dir):
     rows = rows.withColumn("first_position", F.get("positions", F.lit(0))["position"])
     ordered = mixing.in_training_order(rows, "first_position", "order_key")
     return ordered.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    return conversations.audited(conversations.damaged(given), given)
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
