@@ -272,8 +272,8 @@ def common_values(spark, sf_dir):
     """All shared values of all pairs."""
     c = given.catalog(spark, sf_dir)
     found = materialize(cand.candidate_pairs(c.columns_frame(), WHOLE), "candidates")
-    posted = overlap.postings(overlap.value_members(value_counts(c, candidate_columns(found))))
-    shared = overlap.shared_values(overlap.hits(found, posted), c)
+    posted = materialize(overlap.postings(overlap.value_members(value_counts(c, candidate_columns(found)))), "postings")
+    shared = overlap.shared_values(overlap.SharedMembers(found, posted).rows("exact"), c)
     family = F.col("source_family")
     return found.join(shared, list(overlap.PAIR_IDS)).where(family != "other").select(
         *cand.PAIR_KEY,

@@ -1,11 +1,13 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tieweave.config import Config
 from tieweave.functions.names import bare_name
+from tieweave.operators import similar
 from tieweave.operators.candidates import (
     alias_index,
     by_name_score,
@@ -109,3 +111,42 @@ def test_config_checks():
         Config(name_similarity_min=0)
     with pytest.raises(ValueError):
         Config(scope="some")
+
+
+@pytest.mark.parametrize("minimum", [0.35, 0.6, 0.8])
+def test_similar_pairs_beside_brute_force(spark, monkeypatch, minimum):
+    monkeypatch.setattr(similar, "TILE", 16)
+    rng = random.Random(3)
+    parts = ["cust", "order", "id", "date", "total", "num", "é", "_", "x" * 70, "name"]
+    texts = sorted({"".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(150)})
+    frame = spark.createDataFrame([(s, t) for s in (1, 2) for t in texts[s::2]], "set_id int, text string")
+    got = {(r.set_id, r.a, r.b): r.raw for r in similar.similar_pairs(frame, minimum).collect()}
+    want = {}
+    for s in (1, 2):
+        for a in texts[s::2]:
+            for b in texts[s::2]:
+                raw = SequenceMatcher(None, a, b).ratio()
+                if raw >= minimum:
+                    want[s, a, b] = raw
+    assert got == want
+
+
+def test_subsequences_across_words():
+    rng = random.Random(9)
+    a = ["".join(rng.choices("abcd", k=n)) for n in (1, 63, 64, 65, 128, 130, 200)]
+    b = ["".join(rng.choices("abce", k=n)) for n in (1, 64, 100, 129, 199)]
+    left, right = similar.Tile(a), similar.Tile(b)
+    letters, bits = left.masks()
+    codes = np.array([[list(letters).index(p) if n < len(t) and p in letters else len(letters) for n, p in enumerate(row)]
+                      for t, row in zip(b, right.points)])
+    i, j = (x.ravel() for x in np.meshgrid(range(len(a)), range(len(b)), indexing="ij"))
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row, above = [0], row
+            for k, d in enumerate(y):
+                row.append(above[k] + 1 if c == d else max(above[k + 1], row[-1]))
+        return row[-1]
+
+    assert similar.subsequences(bits, codes, i, j).tolist() == [plain(a[x], b[y]) for x, y in zip(i, j)]
