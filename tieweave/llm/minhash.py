@@ -130,6 +130,20 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "numbers").mapInArrow(run, "key long, node long")
 
 
+def pairs_with_leaders(members: DataFrame) -> DataFrame:
+    """(a, b, degree): each node b with the leaders a of its buckets, from ``members`` (key, node, all).
+
+    The leader of a bucket is its node that meets most others, in all buckets together: an original agrees
+    with its copies more often than these with each other.
+    """
+    degrees = materialize(members.groupBy("node").agg(F.sum("all").alias("degree")), "degrees")
+    leaders = members.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"))
+    pairs = members.select("key", "node").join(leaders, "key").where(F.col("lead.node") != F.col("node"))
+    return materialize(
+        pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.degree").alias("degree")).distinct(), "pairs"
+    )
+
+
 def may_link(a_n: np.ndarray, b_n: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes that differ in ``apart`` shingles at least can reach ``percent``."""
     return (100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n)) & ((100 + percent) * apart <= (100 - percent) * (a_n + b_n))
@@ -317,8 +331,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 
     A document's set are its distinct ``words``-word shingles, A-Z in lower case; documents are linked where
     100 * intersection reaches ``percent`` * union.  component_id is the smallest doc_id that links reach, kept
-    marks it.  Equal sets are one node.  Nodes that share a table's key are candidates: one pair of each with its
-    least partner is confirmed first, then all pairs of a bucket that are still in two classes.  Documents without
+    marks it.  Equal sets are one node.  Nodes that share a table's key are candidates: pairs with the
+    leaders of buckets are confirmed first, then all pairs of a bucket that are still in two classes.  Documents without
     words (null texts too) have no shingle and are linked with nothing.  Rows of a null id get a row; a null is a
     component's id only where it holds no other.  Other columns are not read.
     """
@@ -329,20 +343,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     )
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = keyed(nodes)
-    buckets = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("all"))
-    members = materialize(keys.join(buckets.where("`all` > 1"), "key").select("key", "node", "least"), "members")
-    # The least node of each bucket stands for it first.
-    pairs = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    near = near_pairs(pairs, nodes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    near = materialize(near, "near")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("all")).where("`all` > 1")
+    members = materialize(keys.join(buckets, "key").select("key", "node", "all"), "members")
+    pairs = pairs_with_leaders(members)
+    near = materialize(near_pairs(pairs, nodes, percent).join(pairs, ["a", "b"]), "near")
     sets = full_sets(docs, nodes, near.select(F.explode(F.array("a", "b")).alias("node")), words)
-    links = materialize(confirmed(near, materialize(sets, "sets"), percent), "links")
+    sets = materialize(sets, "sets")
+    # One leader of each node first; the others only where that has left the two in different classes.
+    best = near.groupBy("b").agg(F.max(F.struct("degree", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = materialize(confirmed(best, sets, percent), "links")
     classes = materialize(classes_of(nodes, components(links)), "classes")
+    ends = near.join(classes.select(F.col("node").alias("a"), F.col("class").alias("a_class")), "a").join(
+        classes.select(F.col("node").alias("b"), F.col("class").alias("b_class")), "b"
+    )
+    more = materialize(confirmed(ends.where("a_class <> b_class").select("a", "b"), sets, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        classes = materialize(classes_of(nodes, components(links)), "classes")
+    # In a bucket of two both have met; larger ones may hold links between others than their leader.
+    members = members.where("`all` > 2")
     blocks = materialize(open_blocks(members.select("key", "node"), classes, nodes, percent), "blocks")
     if not blocks.isEmpty():
         sets = materialize(full_sets(docs, nodes, blocks.select("node"), words), "sets")
         late = confirmed_blocks(blocks.join(classes, "node").join(sets, "node"), percent)
-        classes = classes_of(nodes, components(links.union(materialize(late, "late"))))
+        late = materialize(late, "late")
+        if not late.isEmpty():
+            classes = classes_of(nodes, components(links.union(late)))
     rooted = nodes.select("node", "print", "first_id").join(classes, "node")
     least = rooted.groupBy("class").agg(F.min("first_id").alias("component_id"))
     found = rooted.join(least, "class").select("print", "component_id")
