@@ -167,3 +167,18 @@ def test_clean_documents_stay_as_they_are(spark):
     found = secrets.redacted(spark.createDataFrame(clean, SCHEMA)).collect()
     print("clean documents changed", sum("[SECRET]" in r.text for r in found), "of", len(found))
     assert {(r.doc_id, r.text) for r in found} == {(r[0], r[1]) for r in clean}
+
+
+def test_text_outside_findings_stays(spark, monkeypatch):
+    text = "password: x7q9zk; see build-x7q9zk2.log and id 00x7q9zk11, again x7q9zk."
+    frame = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    row = secrets.redacted(frame).first()
+    assert row.text == "password: [SECRET]; see build-x7q9zk2.log and id 00x7q9zk11, again [SECRET]."
+    assert row.n_chars == len(row.text)
+
+
+def test_signs_of_values_are_taken_as_they_are(spark):
+    value = r"a1.b2$c3\Ed4(e5*f6"
+    text = f'token = "{value}" and {value} or a1xb2$c3'
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redacted(frame).first().text == 'token = "[SECRET]" and [SECRET] or a1xb2$c3'

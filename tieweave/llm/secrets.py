@@ -15,9 +15,10 @@ from tieweave.session import materialize
 _NAME = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key|auth|bearer|credential)s?"
 #: A candidate: a quoted value that something is set to, a value after a credential's name, or a long run of
 #: key characters that is neither the name before a ``=`` nor a credential's name that something is set to.
+#: Short looks at the sign before come first, so that the long ones are taken at few places.
 CANDIDATE = (
-    r"""(?<=[:=]\s{0,2}["'])[^\s"']{8,}(?=["'])"""
-    rf"""|(?i:(?<=(?<![a-z0-9]){_NAME}["']?\s{{0,2}}[:=]\s{{0,2}}["']?))[^\s"'`&,;<>(){{}}\[\]=:][^\s"'`&,;<>(){{}}\[\]]{{4,}}[^\s"'`&,;<>(){{}}\[\].:!?]"""
+    r"""(?<=["'])(?<=[:=]\s{0,2}["'])[^\s"']{8,}(?=["'])"""
+    rf"""|(?<=[:=\s"'])(?<=[:=]\s{{0,2}}["']?)(?i:(?<=(?<![a-z0-9]){_NAME}["']?\s{{0,2}}[:=]\s{{0,2}}["']?))[^\s"'`&,;<>(){{}}\[\]=:][^\s"'`&,;<>(){{}}\[\]]{{4,}}[^\s"'`&,;<>(){{}}\[\].:!?]"""
     r"""|(?=[A-Za-z0-9+/=_\-]{16})(?![A-Za-z0-9_\-]{0,80}+=[A-Za-z0-9+/_\-])"""
     rf"""(?!(?i:[a-z0-9_\-]{{0,80}}(?<![a-z0-9]){_NAME}["']?\s{{0,2}}[:=]))(?!=\w)[A-Za-z0-9+/=_\-]{{16,}}"""
 )
@@ -194,22 +195,36 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any others) with each secret replaced by ``[SECRET]``; ``n_chars``, if
-    there, is that of the new text.  Every row stays."""
+    there, is that of the new text.  Every row stays.
+
+    A secret is masked where it was found, and elsewhere in its document only as a whole word; all other
+    text stays as it is.  Rows of null ids and texts are kept; long texts are passed over once for each of
+    their secrets.
+    """
     columns = [c for c in docs.columns if not c.startswith("_secret")]
     secrets = scan(docs).where("secret").groupBy(F.col("row_key").alias("_secret_key")).agg(
-        F.array_sort(
-            F.collect_set("value"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(
-                F.when(a < b, -1).when(a > b, 1).otherwise(0)
-            )
-        ).alias("_secret_values")
-    )
+        F.sort_array(F.collect_set(F.struct("start", F.length("value").alias("size"), "value"))).alias("_secrets")
+    )
     # One document's own values, so a list is never longer than a text.
     rows = docs.select(*columns, row_key().alias("_secret_key")).join(secrets, "_secret_key", "left")
-    masked = F.aggregate("_secret_values", F.col("text"), lambda text, value: F.replace(text, value, F.lit(MASK)))
-    out = rows.withColumn("text", F.when(F.col("_secret_values").isNull(), F.col("text")).otherwise(masked))
+    begun = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    cut = F.aggregate(
+        "_secrets", begun,
+        lambda done, one: F.struct(
+            F.concat(done["out"], F.substring("text", done["at"] + 1, one["start"].cast("int") - done["at"]), F.lit(MASK)).alias("out"),
+            (one["start"].cast("int") + one["size"]).alias("at"),
+        ),
+        lambda done: F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text"))),
+    )
+    word = lambda value: F.concat(
+        F.lit(r"(?<![A-Za-z0-9_])"), F.regexp_replace(value, r"([^A-Za-z0-9])", r"\\$1"), F.lit(r"(?![A-Za-z0-9_])")
+    )
+    values = F.array_distinct(F.transform("_secrets", lambda one: one["value"]))
+    masked = F.aggregate(values, cut, lambda text, value: F.regexp_replace(text, word(value), F.lit(MASK)))
+    out = rows.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn(
-            "n_chars", F.when(F.col("_secret_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
+            "n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
         )
     return out.select(*columns)
