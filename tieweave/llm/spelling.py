@@ -25,8 +25,8 @@ BLOCK_LETTERS = 1 << 22
 AT_ONCE = 1 << 12
 
 
-def words_of(docs: DataFrame, every: int = 31) -> DataFrame:
-    """One row (word) for each run of letters of ``docs`` (doc_id, text), A-Z in lower case.
+def words_of(docs: DataFrame, every: int = 31, letters: int = 1) -> DataFrame:
+    """One row (word) for each run of ``letters`` letters or more of ``docs`` (doc_id, text), A-Z in lower case.
 
     With h the crc32 of ``<doc_id>:<run>``, a run whose h is divisible by ``every`` loses its code
     point number h modulo its length.  Null texts have no runs; a null id counts as an empty one.
@@ -34,7 +34,7 @@ def words_of(docs: DataFrame, every: int = 31) -> DataFrame:
     text = F.translate("text", UPPER, LOWER)
     runs = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-        F.explode(F.regexp_extract_all(text, F.lit(r"[a-zÀ-ÿ]+"), F.lit(0))).alias("run"),
+        F.explode(F.regexp_extract_all(text, F.lit(f"[a-zÀ-ÿ]{{{letters},}}"), F.lit(0))).alias("run"),
     )
     h = F.crc32(F.concat_ws(":", "id", "run"))
     at = F.pmod(F.col("h"), F.length("run")).cast("int")
@@ -58,10 +58,8 @@ def letter_counts(points: np.ndarray, order: list[int]) -> np.ndarray:
     places = np.where((points >= 97) & (points <= 122), points - 97, 26 + points % OTHERS).astype(np.int64)
     where = np.empty(DIMENSIONS, np.int64)
     where[order] = np.arange(DIMENSIONS)
-    vectors = np.zeros((len(points), DIMENSIONS), np.int64)
-    rows = np.arange(len(points))
-    for at in range(points.shape[1]):
-        np.add.at(vectors, (rows, where[places[:, at]]), 1)
+    cells = where[places] + DIMENSIONS * np.arange(len(points))[:, None]
+    vectors = np.bincount(cells.reshape(-1), minlength=DIMENSIONS * len(points)).reshape(-1, DIMENSIONS)
     return np.minimum(vectors, 255).astype(np.uint8)
 
 
@@ -159,7 +157,7 @@ def near_words(a: list[str], b: list[str], order: list[int], same: bool) -> tupl
         x = leaf_i[begin : begin + AT_ONCE, None] * LEAF + inside
         y = leaf_j[begin : begin + AT_ONCE, None] * LEAF + inside
         bits = np.bitwise_count(a_bits[np.minimum(x, len(a) - 1)][:, :, None] ^ b_bits[np.minimum(y, len(b) - 1)][:, None, :])
-        at, p, q = np.nonzero(bits <= 2)
+        at, p, q = np.unravel_index(np.flatnonzero(bits <= 2), bits.shape)
         i, j = x[at, p], y[at, q]
         there = (i < len(a)) & (j < len(b))
         if same:
@@ -321,5 +319,5 @@ def spelling_variants(docs: DataFrame, letters: int = 7, least: int = 2, times:
     Null and empty texts add nothing, repeated rows count as often as they stand, further columns of
     any name are not read.
     """
-    return grouped(counted(words_of(docs.select("doc_id", "text")), letters, least), times)
+    return grouped(counted(words_of(docs.select("doc_id", "text"), letters=letters), letters, least), times)
 
