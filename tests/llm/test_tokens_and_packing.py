@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -18,7 +19,6 @@ def whole():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -36,6 +36,18 @@ def test_parts_give_the_ids_of_the_whole_text(whole, rows):
     assert [np.frombuffer(f, dtype="<u4").tolist() for f in found] == [whole(t) for t in texts]
 
 
+def test_ids_of_random_texts_are_the_untouched_tokenizers(whole):
+    rng = random.Random(12)
+    signs = [
+        " ", " ", "  ", "\u00a0", "\u2003", "\u3000", "\u2028", "\u200b", "\u180e", "\x85", "\x1c", "\t", "\n", "\r\n", "\x0b", "\ufeff",
+        "a", "word", "Été", "ß", "日本", "e\u0301", "9", "²", "Ⅳ", ".", "!?", "'s", "'", "’t", "…", "-", "|>", "<|", "<|endoftext|>", "🙂", "\x00",
+    ]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(20_000)] + ["a \u00a0 \u00a0"]
+    found = encoder(definition(VOCABULARY)).encode(texts, 0)
+    wrong = [t for t, f in zip(texts, found) if np.frombuffer(f, dtype="<u4").tolist() != whole(t)]
+    assert wrong == []
+
+
 def test_parts_are_forgotten_without_harm(whole, monkeypatch):
     from tieweave.llm import encoder as module
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
-The pre-tokenizer of such a vocabulary never joins a word with the blank that follows it, so a
-text may be cut in front of each run of blanks and the parts be encoded one by one: the ids are
-those of the whole text.  Words repeat, so each task encodes a part once and keeps its ids.
+The pre-tokenizer of such a vocabulary never joins a sign with white space that follows it, so a text
+may be cut in front of each run of white space and the parts be encoded one by one: the ids are those
+of the whole text.  Words repeat, so each task encodes a part once and keeps its ids.
 """
 
 from __future__ import annotations
@@ -12,9 +12,14 @@ import re
 
 import numpy as np
 
-#: A run of blanks with what follows it, up to the next blank; of that, letters that ASCII punctuation
+_WHITE = r"\t-\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: A whole run of white space with what follows it, up to the next; of that, letters that ASCII punctuation
 #: follows are a part of their own, as the pre-tokenizer always cuts between the two.
-PART = re.compile(r" *[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+(?=[!-/:-@\[-`{-~])| *[^ ]+| +")
+PART = re.compile(
+    rf"[{_WHITE}]*[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+(?=[!-/:-@\[-`{{-~])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
+)
+#: Signs that some take for white space and others don't: texts with any are encoded in one piece.
+UNSETTLED = r"[\x1C-\x1F\x85\u180E\u200B]"
 #: Parts in each of the two generations that a worker keeps (about 250 MB in all); when the younger is
 #: full, the older goes, so parts that are met again stay.
 KEPT_PARTS = 500_000
@@ -28,13 +33,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of special tokens may hold anything, so texts with any are encoded in one piece as well.
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = re.compile("|".join([*special, UNSETTLED]))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, ``end_id`` last; null counts as empty."""
-        parts = [PART.findall(text) if text else [] for text in texts]
+        parts = [([text] if self.whole.search(text) else PART.findall(text)) if text else [] for text in texts]
         if len(self.known) > KEPT_PARTS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
