@@ -34,6 +34,8 @@ SHORT = 60
 LEAST_CHECKED = 5
 FOLDS = 4
 UNDETERMINED = "und"
+#: Bytes of text whose grams a task holds at once; each becomes some sixty bytes of numbers on the way.
+SLICE = 1 << 19
 
 _kinds: np.ndarray | None = None
 
@@ -189,7 +191,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 by_lang: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                     found = symbols(text)
@@ -297,7 +299,7 @@ def calibration(docs: DataFrame, model: LanguageModel) -> DataFrame:
         known = shipped.value
         place = {lang: n for n, lang in enumerate(known.languages)}
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 langs = part.column("lang").to_pylist()
                 entropies, sizes = known.entropies(part.column("text").to_pylist())
                 rows = [
@@ -332,7 +334,7 @@ def judge(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 entropies, sizes = known.entropies(part.column("text").to_pylist())
                 out: list[tuple] = []
                 for each, size in zip(entropies, sizes.tolist()):
