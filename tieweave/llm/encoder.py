@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -16,10 +17,10 @@ _WHITE = r"\t-\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: A whole run of white space with what follows it, up to the next; of that, letters that ASCII punctuation
 #: follows are a part of their own, as the pre-tokenizer always cuts between the two.
 PART = re.compile(
-    rf"[{_WHITE}]*[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+(?=[!-/:-@\[-`{{-~])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
+    rf"[{_WHITE}]*+[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]++(?=[!-/:-@\[-`{{-~])|[{_WHITE}]*+[^{_WHITE}]++|[{_WHITE}]++"
 )
 #: Signs that some take for white space and others don't: texts with any are encoded in one piece.
-UNSETTLED = r"[\x1C-\x1F\x85\u180E\u200B]"
+UNSETTLED = re.compile("[\x1C-\x1F\x85\u180E\u200B]")
 #: Parts in each of the two generations that a worker keeps (about 250 MB in all); when the younger is
 #: full, the older goes, so parts that are met again stay.
 KEPT_PARTS = 500_000
@@ -34,20 +35,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         # Strings of special tokens may hold anything, so texts with any are encoded in one piece as well.
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.whole = re.compile("|".join([*special, UNSETTLED]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def parts(self, text: str) -> list[str]:
+        """The pieces whose ids are put together to those of the text."""
+        if UNSETTLED.search(text) or any(special in text for special in self.special):
+            return [text]
+        return PART.findall(text)
+
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, ``end_id`` last; null counts as empty."""
-        parts = [([text] if self.whole.search(text) else PART.findall(text)) if text else [] for text in texts]
+        parts = [self.parts(text) if text else [] for text in texts]
         if len(self.known) > KEPT_PARTS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        missing = {part for own in parts for part in own if part not in known}
         new = []
-        for part in missing:
+        for part in set(chain.from_iterable(parts)).difference(known):
             if part in older:
                 known[part] = older[part]
             else:
