@@ -1030,3 +1030,22 @@ WITH notes AS (SELECT key, arg_max(text, seq) AS edge_annotation FROM ({given.RE
 SELECT {EDGE}, rel_type AS relationship_type, annotation, coalesce(edge_annotation, '') AS edge_annotation
 FROM ({given.REVIEW_CONFIRMED}) c LEFT JOIN notes ON key = source_key || '->' || target_key
 """
+
+
+@oracle
+def node_key_parts() -> str:
+    return """
+WITH keyed AS (
+  SELECT c_custkey, array_to_string(list_slice(['x', CAST(c_nationkey AS VARCHAR), c_mktsegment, c_name], 4 - c_custkey % 4, 4), '.') AS node_key
+  FROM customer),
+cut AS (SELECT *, string_split(node_key, '.') AS p FROM keyed)
+SELECT c_custkey, node_key, CASE WHEN len(p) >= 3 THEN p[1] ELSE '' END AS connection_id,
+       CASE WHEN len(p) >= 3 THEN p[2] WHEN len(p) = 2 THEN p[1] ELSE '' END AS schema_name,
+       CASE WHEN len(p) >= 3 THEN p[3] WHEN len(p) = 2 THEN p[2] ELSE '' END AS table_name
+FROM cut
+"""
+
+
+@oracle
+def edge_keys() -> str:
+    return "SELECT o_orderkey, concat_ws('|', o_orderstatus, o_orderpriority, o_custkey) AS edge_key FROM orders"

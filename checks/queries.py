@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import given
+from tieweave.functions import text
 from tieweave.config import Config
 from tieweave.functions.text import short_label
 from tieweave.operators import candidates as cand
@@ -660,3 +661,22 @@ def report_relationships(spark, sf_dir):
         spark.createDataFrame([], "key string, text string"), given.derived(spark, sf_dir, given.REVIEW_NOTES)
     )
     return reports.relationships(confirmed, notes)
+
+
+# -- keys of nodes and edges
+
+
+@query
+def node_key_parts(spark, sf_dir):
+    """Dotted keys of one to four parts, taken apart."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    parts = F.array(F.lit("x"), F.col("c_nationkey").cast("string"), "c_mktsegment", "c_name")
+    n = (F.col("c_custkey") % 4 + 1).cast("int")
+    keyed = rows.select("c_custkey", F.array_join(F.slice(parts, F.lit(5) - n, n), ".").alias("node_key"))
+    return keyed.select("c_custkey", "node_key", F.inline(F.array(text.node_parts(F.col("node_key")))))
+
+
+@query
+def edge_keys(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.select("o_orderkey", text.edge_key("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")).alias("edge_key"))
