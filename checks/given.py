@@ -215,6 +215,20 @@ FROM lineitem WHERE {condition} GROUP BY 1, 2
 PREVIOUS_TABLES, PREVIOUS_COLUMNS = _drift_tables("l_linenumber <= 5"), _drift_columns("l_linenumber <= 5")
 CURRENT_TABLES, CURRENT_COLUMNS = _drift_tables("l_linenumber >= 3"), _drift_columns("l_linenumber >= 3")
 
+# -- five snapshots of the same tables: three line numbers each
+
+_VERSIONS = "(SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS version FROM lineitem WHERE l_linenumber <= 5) v"
+_SEEN = f"lineitem JOIN {_VERSIONS} ON l_linenumber BETWEEN version AND version + 2"
+HISTORY_VERSIONS = f"SELECT version FROM {_VERSIONS}"
+HISTORY_TABLES = f"SELECT version, {_DRIFT_TABLE} AS table_key, count(*) AS row_count FROM {_SEEN} GROUP BY 1, 2"
+HISTORY_COLUMNS = f"""
+SELECT version, {_DRIFT_TABLE} AS table_key, 'S' || l_suppkey AS column_name,
+       CASE max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END)
+            WHEN 1 THEN 'int' WHEN 2 THEN 'bigint' ELSE 'string' END AS data_type,
+       count(CASE WHEN l_linestatus = 'O' THEN 1 END) > 0 AS is_nullable
+FROM {_SEEN} GROUP BY 1, 2, 3
+"""
+
 # -- turns of the conversations, and responses that list the lines of an order
 
 TURNS = """

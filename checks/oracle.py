@@ -847,6 +847,25 @@ WHERE r = 1
 """
 
 
+@oracle
+def folded_confirmations() -> str:
+    return f"SELECT {SIGNATURE}, count(DISTINCT session_id) AS sessions FROM ({given.CONFIRMATION_LOG}) l GROUP BY ALL"
+
+
+@oracle
+def stored_graph() -> str:
+    return f"SELECT * FROM ({given.STORED_EDGES}) e WHERE graph_id = 'g7'"
+
+
+@oracle
+def rewritten_graphs() -> str:
+    return f"""
+WITH e AS (SELECT * REPLACE (CASE WHEN graph_id = 'g7' THEN 'again' ELSE annotation END AS annotation)
+           FROM ({given.STORED_EDGES}) s WHERE graph_id NOT IN ('g8', 'g10'))
+SELECT * FROM e UNION ALL SELECT * REPLACE ('fork of g7' AS graph_id) FROM e WHERE graph_id = 'g7'
+"""
+
+
 @oracle
 def context_edges() -> str:
     return f"""
@@ -861,10 +880,10 @@ WHERE graph_id = 'g7' AND edge_type = 'confirmed'
 # -- drift
 
 
-def drift_parts() -> str:
+def _changes(new_tables: str, new_columns: str, old_tables: str, old_columns: str) -> str:
     return f"""
-WITH nt AS ({given.CURRENT_TABLES}), nc AS ({given.CURRENT_COLUMNS}),
-ot AS ({given.PREVIOUS_TABLES}), oc AS ({given.PREVIOUS_COLUMNS}),
+WITH nt AS ({new_tables}), nc AS ({new_columns}),
+ot AS ({old_tables}), oc AS ({old_columns}),
 kept AS (SELECT table_key FROM nt INTERSECT SELECT table_key FROM ot),
 n AS (SELECT * FROM nc WHERE table_key IN (SELECT table_key FROM kept)),
 o AS (SELECT * FROM oc WHERE table_key IN (SELECT table_key FROM kept)),
@@ -876,7 +895,12 @@ UNION ALL SELECT n.table_key, n.column_name, 'type_changed', o.data_type, n.data
 FROM n JOIN o USING (table_key, column_name) WHERE n.data_type <> o.data_type
 UNION ALL SELECT n.table_key, n.column_name, 'nullability_changed',
        CASE WHEN o.is_nullable THEN 'True' ELSE 'False' END, CASE WHEN n.is_nullable THEN 'True' ELSE 'False' END
-FROM n JOIN o USING (table_key, column_name) WHERE n.is_nullable <> o.is_nullable),
+FROM n JOIN o USING (table_key, column_name) WHERE n.is_nullable <> o.is_nullable)"""
+
+
+def drift_parts() -> str:
+    sides = (given.CURRENT_TABLES, given.CURRENT_COLUMNS, given.PREVIOUS_TABLES, given.PREVIOUS_COLUMNS)
+    return f"""{_changes(*sides)},
 verdicts AS (
 SELECT table_key, CASE WHEN ot.row_count IS NULL THEN 'new' WHEN nt.row_count IS NULL THEN 'removed'
             WHEN c.n > 0 THEN 'columns_changed' WHEN ot.row_count <> nt.row_count THEN 'row_count_changed'
@@ -898,6 +922,46 @@ def drift_tables() -> str:
     return f"{drift_parts()} SELECT * FROM verdicts"
 
 
+def _history(rows: str, key: str, state: str) -> str:
+    return f"""
+WITH v AS (SELECT version, row_number() OVER (ORDER BY version) AS place, lead(version) OVER (ORDER BY version) AS following
+           FROM ({given.HISTORY_VERSIONS}) x),
+r AS (SELECT *, place - row_number() OVER (PARTITION BY {key}, {state} ORDER BY place) AS island
+      FROM ({rows}) s JOIN v USING (version))
+SELECT {key}, {state}, min(version) AS valid_from, arg_max_null(following, place) AS valid_to
+FROM r GROUP BY {key}, {state}, island
+"""
+
+
+@oracle
+def column_history() -> str:
+    return _history(given.HISTORY_COLUMNS, "table_key, column_name", "data_type, is_nullable")
+
+
+@oracle
+def table_history() -> str:
+    return _history(given.HISTORY_TABLES, "table_key", "row_count")
+
+
+@oracle
+def extended_history() -> str:
+    return column_history()
+
+
+@oracle
+def history_as_of() -> str:
+    return f"SELECT * EXCLUDE (version) FROM ({given.HISTORY_COLUMNS}) c WHERE version = 4"
+
+
+@oracle
+def history_changes() -> str:
+    parts = [
+        f"SELECT * EXCLUDE (version) FROM ({rows}) s WHERE version = {n}"
+        for n in (5, 2) for rows in (given.HISTORY_TABLES, given.HISTORY_COLUMNS)
+    ]
+    return f"{_changes(*parts)} SELECT * FROM changes"
+
+
 @oracle
 def drift_summary() -> str:
     return f"""{drift_parts()}

@@ -14,13 +14,15 @@ from tieweave.functions import text
 from tieweave.config import Config
 from tieweave.functions.text import short_label
 from tieweave.operators import candidates as cand
-from tieweave.operators import drift, edges, overlap, profiles, responses, stored_graphs, strings, talk
+from tieweave.operators import confirmation_state, drift, edges, history, overlap, profiles, responses, stored_graphs
+from tieweave.operators import strings, talk
 from tieweave.operators.values import value_counts
 from tieweave.plans.analysis import candidate_columns, run_analysis, score_pairs
 from tieweave.plans.loading import load_tables
 from tieweave.session import materialize, shared_folder
 from tieweave.sources import reports, snapshots
 from tieweave.sources.catalog import Catalog
+from tieweave.sources.graph_table import GraphTable
 
 # The given names have no aliases among the defaults.
 WHOLE = Config()
@@ -532,6 +534,41 @@ def promoted_edges(spark, sf_dir):
     )
 
 
+@query
+def folded_confirmations(spark, sf_dir):
+    """The log in files, folded into the state as a stream; the first batch comes a second time."""
+    folder = f"{shared_folder(spark)}/tieweave/folded-{uuid.uuid4().hex}"
+    log = given.derived(spark, sf_dir, given.CONFIRMATION_LOG)
+    log.repartition(6, "session_id").write.parquet(f"{folder}/log")
+    confirmation_state.fold_folder(spark, f"{folder}/log", log.schema, f"{folder}/state", files=3)
+    again = confirmation_state.state(spark, f"{folder}/state").where(F.col("batch_id") == "stream-0")
+    confirmation_state.fold(materialize(again, "batch"), f"{folder}/state", "stream-0")
+    return confirmation_state.session_counts(confirmation_state.state(spark, f"{folder}/state"))
+
+
+def _graph_table(spark, sf_dir) -> GraphTable:
+    rows = given.derived(spark, sf_dir, given.STORED_EDGES)
+    table = GraphTable(spark, f"{shared_folder(spark)}/tieweave/graphs-{uuid.uuid4().hex}", rows.schema, buckets=16)
+    table.save(rows)
+    return table
+
+
+@query
+def stored_graph(spark, sf_dir):
+    """A lookup by id in the stored table."""
+    return _graph_table(spark, sf_dir).of_graph(ONE_GRAPH)
+
+
+@query
+def rewritten_graphs(spark, sf_dir):
+    """The stored table after a save, a deletion and a fork."""
+    table = _graph_table(spark, sf_dir)
+    table.save(table.of_graph(ONE_GRAPH).withColumn("annotation", F.lit("again")))
+    table.delete(spark.createDataFrame([("g8",), ("g10",)], "graph_id string"))
+    table.fork(ONE_GRAPH, "fork of " + ONE_GRAPH)
+    return table.rows().drop("bucket")
+
+
 @query
 def context_edges(spark, sf_dir):
     nodes = stored_graphs.of_graph(given.derived(spark, sf_dir, given.STORED_NODES), ONE_GRAPH)
@@ -566,6 +603,57 @@ def drift_summary(spark, sf_dir):
     return drift.drift_summary(_drift(spark, sf_dir)[1])
 
 
+# -- histories of snapshots
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(
+        materialize(given.derived(spark, sf_dir, sql), "snapshots")
+        for sql in (given.HISTORY_TABLES, given.HISTORY_COLUMNS, given.HISTORY_VERSIONS)
+    )
+
+
+@query
+def column_history(spark, sf_dir):
+    _, columns, versions = _snapshots(spark, sf_dir)
+    return history.column_history(columns, versions)
+
+
+@query
+def table_history(spark, sf_dir):
+    tables, _, versions = _snapshots(spark, sf_dir)
+    return history.table_history(tables, versions)
+
+
+@query
+def extended_history(spark, sf_dir):
+    """Three snapshots at once, then the other two one by one."""
+    _, columns, versions = _snapshots(spark, sf_dir)
+    early = F.col("version") <= 3
+    rows = history.column_history(columns.where(early), versions.where(early))
+    for version in (4, 5):
+        snapshot = columns.where(F.col("version") == version)
+        rows = materialize(history.extended(rows, snapshot, version, history.COLUMN_KEY, history.COLUMN_STATE), "history")
+    return rows
+
+
+@query
+def history_as_of(spark, sf_dir):
+    _, columns, versions = _snapshots(spark, sf_dir)
+    return history.as_of(history.column_history(columns, versions), 4)
+
+
+@query
+def history_changes(spark, sf_dir):
+    """What changed from version 2 to 5, read from the histories."""
+    tables, columns, versions = _snapshots(spark, sf_dir)
+    kept = [
+        materialize(rows, "history")
+        for rows in (history.table_history(tables, versions), history.column_history(columns, versions))
+    ]
+    return history.changes_between(*kept, later=5, earlier=2)
+
+
 # -- responses
 
 
