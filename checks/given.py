@@ -229,6 +229,20 @@ SELECT version, {_DRIFT_TABLE} AS table_key, 'S' || l_suppkey AS column_name,
 FROM {_SEEN} GROUP BY 1, 2, 3
 """
 
+# -- what reviewers say of aliases and columns
+
+ALIAS_FEEDBACK = """
+SELECT CASE WHEN event_id % 2 = 0 THEN ' User_' ELSE 'user_' END || (user_id % 100) || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END AS alias,
+       event_type AS alias_group, event_id AS seq
+FROM events
+UNION ALL SELECT 'O_CustKey', 'order key', max(event_id) + 1 FROM events
+"""
+
+DESCRIBED_COLUMNS = f"""
+SELECT DISTINCT 'dbo.U' || user_id AS table_key, regexp_extract(props, '[0-9]+', 0) AS column_name FROM events
+UNION ALL SELECT DISTINCT 'dbo.U' || user_id, 'never described' FROM events
+"""
+
 # -- turns of the conversations, and responses that list the lines of an order
 
 TURNS = """

@@ -605,6 +605,29 @@ def string_evidence() -> str:
     return f"{string_sets()} SELECT * FROM strings"
 
 
+@oracle
+def string_scores() -> str:
+    return f"""{string_sets()}
+SELECT source_table, source_column, target_table, target_column,
+       round((0.45::DOUBLE * categorical_alignment + 0.30::DOUBLE * token_similarity + 0.25::DOUBLE * normalization_overlap)
+             * CASE WHEN token_similarity = 0 THEN 0.5::DOUBLE ELSE 1 END, 4) AS score
+FROM strings
+"""
+
+
+@oracle
+def reviewed_aliases() -> str:
+    from checks.queries import ALIASES
+
+    index = {name.lower().strip(): group for group, names in ALIASES.items() for name in names}
+    rows = ", ".join(f"('{name}', '{group}')" for name, group in index.items())
+    return f"""
+WITH said AS (SELECT lower(trim(alias)) AS alias, arg_max(alias_group, seq) AS alias_group
+              FROM ({given.ALIAS_FEEDBACK}) f GROUP BY 1)
+SELECT * FROM said UNION ALL SELECT * FROM (VALUES {rows}) i(alias, alias_group) ANTI JOIN said USING (alias)
+"""
+
+
 @oracle
 def suggested_edges() -> str:
     return f"""
@@ -1039,6 +1062,14 @@ WHERE batch % 8 NOT IN (6, 7) GROUP BY 1, 2
 """
 
 
+@oracle
+def described_columns() -> str:
+    return f"""
+SELECT table_key, column_name, d.description FROM ({given.DESCRIBED_COLUMNS}) c
+LEFT JOIN ({response_descriptions()}) d ON d."table" = table_key AND d."column" = column_name
+"""
+
+
 # -- conversations and bounded reads
 
 

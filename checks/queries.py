@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from checks import given
 from tieweave.functions import text
 from tieweave.config import Config
+from tieweave.functions.scores import string_score
 from tieweave.functions.text import short_label
 from tieweave.operators import candidates as cand
 from tieweave.operators import confirmation_state, drift, edges, history, overlap, profiles, responses, stored_graphs
@@ -299,6 +300,30 @@ def _string_part(spark, sf_dir):
     return overlap.string_evidence(found, rows, WHOLE, members=overlap.text_members(values, c, rows))
 
 
+@query
+def reviewed_aliases(spark, sf_dir):
+    """The alias index after feedback; the last word on an alias counts."""
+    index = cand.alias_index(spark, ALIASES)
+    return cand.latest_aliases(index, given.derived(spark, sf_dir, given.ALIAS_FEEDBACK))
+
+
+@query
+def described_columns(spark, sf_dir):
+    """Columns of many tables with the descriptions found in responses, null where there is none."""
+    lookup = responses.description_lookup(_descriptions(spark, sf_dir))
+    return responses.describe_columns(given.derived(spark, sf_dir, given.DESCRIBED_COLUMNS), lookup)
+
+
+@query
+def string_scores(spark, sf_dir):
+    """The score of the string evidence, halved for pairs without a token in common."""
+    parts = _string_part(spark, sf_dir)
+    score = string_score(
+        F.col("categorical_alignment"), F.col("token_similarity"), F.col("normalization_overlap"), F.col("token_similarity") == 0
+    )
+    return parts.select(*cand.PAIR_KEY, score.alias("score"))
+
+
 @query
 def string_evidence(spark, sf_dir):
     return _string_part(spark, sf_dir).select(
@@ -698,10 +723,14 @@ def merged_edges(spark, sf_dir):
     return edges.add_suggestions(existing, new, order="turn")
 
 
+def _descriptions(spark, sf_dir) -> DataFrame:
+    parsed = responses.parse_responses(given.description_responses(spark, sf_dir))
+    return responses.column_descriptions(parsed)
+
+
 @query
 def response_descriptions(spark, sf_dir):
-    parsed = responses.parse_responses(given.description_responses(spark, sf_dir))
-    return responses.description_lookup(responses.column_descriptions(parsed))
+    return responses.description_lookup(_descriptions(spark, sf_dir))
 
 
 # -- conversations and bounded reads
