@@ -111,13 +111,51 @@ def test_nothing_to_learn(spark, no_docs, docs):
     assert {r.lang_pred for r in found} == {"und"}
 
 
-def test_capacity_keeps_the_frequent_grams(spark, monkeypatch):
-    monkeypatch.setattr(language, "MOST_GRAMS", 200)
-    rows = many(random.Random(1), 300)
-    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert all(0 < m.probability[-1].hashes.size <= 200 for m in model.models)
-    found, _ = model.entropies([r[1] for r in rows[:100]])
-    assert np.mean([model.languages[int(np.argmin(e))] == r[2] for e, r in zip(found, rows)]) > 0.95
+def test_rare_grams_and_many_languages_are_kept(spark):
+    """40 languages of rare symbols: every gram of every order is in the tables, as the formulas have it."""
+    rng = random.Random(40)
+    rows, texts = [], defaultdict(list)
+    for n in range(40):
+        letters = [chr(0x4E00 + 97 * n + k) for k in range(60)]
+        for k in range(6):
+            text = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(15))
+            rows.append((100 * n + k, text, f"l{n:02}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    checked = {r[0] for r in frame.where(F.floor(F.crc32(F.col("doc_id").cast("string")) / 4) % 32 == 0).collect()}
+    for i, text, lang in rows:
+        if i not in checked:
+            texts[lang].append(as_text(language.symbols(text)))
+    model = language.fit(frame)
+    assert model.languages == sorted(texts)
+    alphabet = len({c for t in texts.values() for s in t for c in s[3:]}) + 1
+    probes = [rows[0][1], rows[57][1], "丁 鼠"]
+    found, _ = model.entropies(probes)
+    for n in (0, 9, 39):
+        plain = PlainModel(texts[model.languages[n]], alphabet)
+        assert sum(len(level) for level in plain.levels) == sum(len(p.hashes) for p in model.models[n].probability)
+        for probe, own in zip(probes, found):
+            assert own[n] == pytest.approx(plain.entropy(as_text(language.symbols(probe))), rel=1e-4)
+
+
+def test_models_too_large_to_hold_give_the_same(spark, docs, rows, monkeypatch):
+    held = {str(r.doc_id): r for r in language.predict(docs).collect()}
+    monkeypatch.setattr(language, "HELD", 0)
+    monkeypatch.setattr(language, "BLOCK", 2000)
+    monkeypatch.setattr(language, "SLICE", 1000)
+    found = language.predict(docs).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id is None:
+            continue
+        other = held[str(r.doc_id)]
+        assert (r.lang_pred, r.held_out, r.rejected) == (other.lang_pred, other.held_out, other.rejected)
+        assert r.score == pytest.approx(other.score, abs=1e-4)
+        assert r.entropy is None and other.entropy is None or r.entropy == pytest.approx(other.entropy, rel=1e-5)
+
+
+def test_a_large_model_of_nothing(spark, no_docs, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 0)
+    assert language.predict(no_docs).collect() == []
 
 
 def test_small_tables_reject_too(spark):
