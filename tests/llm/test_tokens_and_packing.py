@@ -124,14 +124,42 @@ def test_level_is_the_one_of_least_squares():
         packer.add(1, b"\0\0\0\0" * int(size))
 
 
-def test_open_windows_are_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "OPEN_WINDOWS", 5)
-    packer, out = packing.Packer(10), []
-    for n in range(100):  # six tokens never fit beside six
-        out += packer.add(n, np.full(6, n, "<u4").tobytes())
-        assert packer.open <= 5
-    out += packer.drain(last=True)
-    assert sum(p[2] for p in out) == 600
+def test_held_windows_are_bounded_and_levels_stay_the_same():
+    rng = np.random.default_rng(6)
+    sizes = [6] * 200 + [int(n) for n in rng.integers(1, 10, 300)] + [4] * 80  # six tokens never fit beside six
+    free = packing.Packer(10, most_held=10**9)
+    for n, size in enumerate(sizes):
+        free.add(n, np.full(size, n, "<u4").tobytes())
+    packer, out = packing.Packer(10, most_held=5), []
+    for n, size in enumerate(sizes):
+        out += packer.add(n, np.full(size, n, "<u4").tobytes())
+        assert packer.held <= 5
+    assert packer.counts.tolist() == free.counts.tolist()  # what is held changes no choice
+    out += packer.close()
+    assert sum(r[2] for r in out) == sum(sizes)
+    filled = defaultdict(list)
+    for r in out:
+        filled[r[5], r[8]].append((r[6], r[2]))
+    assert sum(pending for _, pending in filled) > 100
+    for (_, pending), parts in filled.items():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 10 and (pending or end == 10 or end & (end - 1) == 0)
+
+
+@pytest.mark.parametrize("with_ids", [False, True])
+def test_windows_let_go_are_settled(spark, whole, monkeypatch, with_ids):
+    monkeypatch.setattr(packing, "HELD_WINDOWS", 3)
+    rows = [(n, "word " * (n % 3 + 9)) for n in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(frame, VOCABULARY, capacity=16, with_ids=with_ids).collect()
+    sequences = check_packing(pieces, rows, whole, 16)
+    assert any(p.sequence_id >= 1 << 62 for p in pieces)
+    assert sum(length for parts in sequences.values() for _, length in parts) > 0.95 * 16 * len(sequences)
+    if with_ids:
+        assert all(zlib.crc32(p.ids) == p.ids_crc32 for p in pieces)
 
 
 def test_token_files_round_trip(spark, docs, rows, whole, clashing):
