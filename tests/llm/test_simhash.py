@@ -124,7 +124,8 @@ def test_near_copies_against_brute_force(docs, rows, clashing):
         for g in groups.values()
     )
     assert sorted(str(r.doc_id) for r in kept) == wanted
-    assert len(simhash.near_copies_removed(clashing).collect()) > 0
+    found = simhash.near_copies_removed(clashing)
+    assert found.columns == clashing.columns and len(found.collect()) > 0
 
 
 def test_nothing(no_docs):
@@ -208,6 +209,12 @@ def test_recall_against_plain_jaccard(spark):
     assert all(share > 0.8 for share in found.values())
 
 
+def test_recall_above_the_few(spark):
+    found = recall(spark, *planted_copies(random.Random(68), (68, 80, 96, 128, 512, 1024), 150))
+    print("recall", found)
+    assert all(share >= 0.98 for share in found.values())
+
+
 def test_a_repeated_line_changes_no_likeness(spark):
     rng = random.Random(7)
     rows = []

@@ -21,8 +21,10 @@ TILE = 4096
 SHARES = 8
 #: Rows of either side of a block at most, whose texts one task holds together.
 BLOCK = 256
-#: Texts of at most so many distinct shingles meet by shared shingles too, whatever their fingerprints.
+#: Texts of at most so many distinct shingles meet by shared shingles too, as few shingles make rough fingerprints.
 FEW = 64
+#: Columns that ``fingerprints`` adds.
+INNER = ("print", "bucket", "wording", "print_2")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _DIGIT = 128  # of a packed class, above the largest count of bits
 
@@ -52,6 +54,14 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the hashes, whose bits tell nothing of the first ones: multiplied and shifted, as often as it takes."""
+    out = hashes.astype(np.uint64)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(factor)
+    return (out ^ (out >> np.uint64(31))).astype("<u8")
+
+
 def length_class(distinct: int) -> int:
     """Classes of the number of distinct shingles; sets of similarity 0.8 are at most one apart."""
     return int(np.floor(np.log(distinct) / np.log(1.25))) if distinct else -2
@@ -59,33 +69,37 @@ def length_class(distinct: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, once: bool = False) -> DataFrame:
     """Adds to ``docs`` (text): ``print`` (the 64 bits as a long), ``bucket`` (class of length) and
-    ``wording`` (md5 of the lower-cased words).  ``once`` counts each distinct shingle once.
+    ``wording`` (md5 of the lower-cased words).  ``once`` counts each distinct shingle once, and adds
+    ``print_2``, a fingerprint of the same shingles by other hashes.
 
     Null texts and texts without words have the fingerprint 0.  Columns of ``docs`` with the names
-    of these three are left out.
+    of these four are left out.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("print", "bucket", "wording")]
+    kept = [c for c in docs.columns if c.lower() not in INNER]
     docs = docs.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                prints, buckets, wordings = [], [], []
+                prints, others, buckets, wordings = [], [], [], []
                 for text in part.column("text").to_pylist():
                     hashes = shingle_hashes(text, words)
                     distinct = np.unique(hashes)
                     prints.append(simhash(distinct if once else hashes))
+                    if once:
+                        others.append(simhash(remixed(distinct)))
                     buckets.append(length_class(len(distinct)))
                     plain = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
                     wordings.append(hashlib.md5(plain).hexdigest())
+                second = [pa.array(np.array(others, dtype=np.uint64).view(np.int64))] if once else []
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
-                     pa.array(buckets, pa.int32()), pa.array(wordings, pa.string())],
-                    names=[*kept, "print", "bucket", "wording"],
+                     pa.array(buckets, pa.int32()), pa.array(wordings, pa.string()), *second],
+                    names=[*kept, "print", "bucket", "wording", *["print_2"][: len(second)]],
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, print long, bucket int, wording string")
+    return docs.mapInArrow(run, f"{kinds}, print long, bucket int, wording string" + ", print_2 long" * once)
 
 
 def _offsets(buckets: int, segments: int, radius: int) -> list[int]:
@@ -414,20 +428,25 @@ def few_blocks(prints: DataFrame, classes: DataFrame, words: int, similarity: fl
 def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13) -> DataFrame:
     """``docs`` (doc_id, text and any others) without all but one document of each near-copy class.
 
-    Fingerprints of the distinct ``words``-word shingles that differ in at most ``radius`` bits are
-    candidates, and so are all texts of which one has at most ``FEW`` distinct shingles; a candidate is a link if the sets of shingles have a Jaccard similarity of ``similarity`` or more.
-    A forest of the candidates is verified first, with the smallest wording of each fingerprint for
-    all; then every candidate, of all wordings, whose ends are not in one class of verified links is.
+    Each document has two fingerprints of its distinct ``words``-word shingles, by independent hashes.
+    Documents of which either differs in at most ``radius`` bits are candidates, and so are all texts of
+    which one has at most ``FEW`` distinct shingles; a candidate is a link if the sets of shingles have
+    a Jaccard similarity of ``similarity`` or more.
+    A forest of the candidates by the first fingerprint is verified first, with the smallest wording of each
+    for all; then every candidate, of all wordings, whose ends are not in one class of verified links is.
     A class is what links reach; its document with the smallest id stays (ties: by wording).
     Texts with the same words, case aside, are one class, so empty and null texts are one.  Rows
-    that repeat an id and wording are one document.
+    that repeat an id and wording are one document.  Other columns keep their names, whatever these are.
     """
     if not 0.8 <= similarity <= 1:
         raise ValueError("classes of length are cut for a similarity of 0.8 or more")
-    columns = [c for c in docs.columns if c.lower() not in ("print", "bucket", "wording")]
+    columns = docs.columns
+    # The caller's columns of the same names as inner ones step aside until the end.
+    aside = {c: f"_own{n}" for n, c in enumerate(columns) if c.lower() in INNER}
+    docs = docs.withColumnsRenamed(aside)
     prints = materialize(fingerprints(docs, words, once=True), "prints")
     nodes = materialize(
-        prints.groupBy("wording", "print", "bucket").agg(F.min("doc_id").alias("first_id")), "nodes"
+        prints.groupBy("wording", "print", "print_2", "bucket").agg(F.min("doc_id").alias("first_id")), "nodes"
     )
     by_print = nodes.groupBy("print", "bucket").agg(F.min("wording").alias("lead"))
     found = links(by_print, radius, segments=1, buckets=1)
@@ -473,15 +492,19 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     # The forest took one way between wordings, which may have failed: what is still apart meets again, whole.
     roots = components(verified)
     apart = nodes.join(roots, nodes["wording"] == roots["node"], "left").select(
-        "wording", "print", "bucket", F.xxhash64("wording").alias("tag"),
+        "wording", "print", "print_2", "bucket", F.xxhash64("wording").alias("tag"),
         F.xxhash64(F.coalesce("root", "wording")).alias("class"),
     )
     apart = materialize(apart, "apart")
-    blocks = open_blocks(apart, radius, buckets=1).join(apart.select("print", "tag", "wording", "class"), ["print", "tag"])
-    blocks = blocks.select("block", "second", "wording", "print", "class", F.lit(radius).alias("reach"))
+    near = []
+    for name in ("print", "print_2"):
+        points = apart.select(F.col(name).alias("print"), "bucket", "tag", "class", "wording")
+        blocks = open_blocks(points, radius, buckets=1).join(points.drop("bucket"), ["print", "tag"])
+        block = F.concat_ws("-", F.lit(name), "block").alias("block")
+        near.append(blocks.select(block, "second", "wording", "print", "class", F.lit(radius).alias("reach")))
     few = few_blocks(prints, apart, words, similarity).join(apart.select("wording", "print", "class"), "wording")
     few = few.select("block", "second", "wording", "print", "class", F.lit(64).alias("reach"))
-    blocks = materialize(blocks.union(few), "blocks")
+    blocks = materialize(near[0].union(near[1]).union(few), "blocks")
     late = verified_blocks(blocks.join(texts_of(blocks.select("wording")), "wording"), words, similarity)
     roots = components(verified.union(late))
     rooted = nodes.join(roots, nodes["wording"] == roots["node"], "left").select(
@@ -494,4 +517,4 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     one = prints.dropDuplicates(["doc_id", "wording"])
     return one.join(
         stays, one["doc_id"].eqNullSafe(F.col("kept_id")) & (one["wording"] == F.col("kept_wording")), "left_semi"
-    ).select(*columns)
+    ).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in columns])
