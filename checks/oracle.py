@@ -257,6 +257,25 @@ SELECT *, round(CASE WHEN row_count > 0 THEN null_count / row_count ELSE 0 END,
 FROM ({parts}) p"""
 
 
+@oracle
+def estimated_profile() -> str:
+    return f"""
+    SELECT table_name, column_name, row_count, non_null_count, null_ratio,
+           CASE WHEN distinct_count < 8192 THEN distinct_count END AS distinct_count
+    FROM ({column_profile()})"""
+
+
+@oracle
+def estimated_overlap() -> str:
+    def pair(st: str, sc: str, tt: str, tc: str) -> str:
+        a, b = f"SELECT {sc} AS v FROM {st} WHERE {sc} IS NOT NULL", f"SELECT {tc} AS v FROM {tt} WHERE {tc} IS NOT NULL"
+        return f"""SELECT '{st}.{sc}' AS source, '{tt}.{tc}' AS target,
+            CASE WHEN (SELECT count(*) FROM ({a} UNION {b})) < 8192
+                 THEN (SELECT count(*) FROM ({a} INTERSECT {b})) END AS shared_count"""
+
+    return " UNION ALL ".join(pair(*key) for key in given.FOREIGN_KEYS)
+
+
 @oracle
 def column_profile() -> str:
     return profiles()

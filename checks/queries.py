@@ -15,7 +15,7 @@ from tieweave.config import Config
 from tieweave.functions.scores import string_score
 from tieweave.functions.text import short_label
 from tieweave.operators import candidates as cand
-from tieweave.operators import confirmation_state, drift, edges, history, overlap, profiles, responses, stored_graphs
+from tieweave.operators import confirmation_state, drift, edges, estimates, history, overlap, profiles, responses, stored_graphs
 from tieweave.operators import strings, talk
 from tieweave.operators.values import value_counts
 from tieweave.plans.analysis import candidate_columns, run_analysis, score_pairs
@@ -121,6 +121,33 @@ def column_profile(spark, sf_dir):
     return profiles.column_profiles(value_counts(c, text_forms=False), c.columns_frame()).select(*PROFILE_COLUMNS)
 
 
+@query
+def estimated_profile(spark, sf_dir):
+    """By sketches; numbers of distinct values only where a sketch gives them exactly."""
+    c = given.catalog(spark, sf_dir)
+    found = c.columns_frame().join(estimates.column_sketches(c), "col_id").select(
+        "table_name", "column_name", "row_count", "non_null_count", "sketch"
+    )
+    return estimates.estimated_profiles(found).select(
+        "table_name", "column_name", "row_count", "non_null_count", "null_ratio",
+        F.when(F.col("exact"), F.col("distinct_estimate")).alias("distinct_count"),
+    )
+
+
+@query
+def estimated_overlap(spark, sf_dir):
+    """Values that the ends of each foreign key share, by sketches, where these give them exactly."""
+    c = given.catalog(spark, sf_dir)
+    columns = c.columns_frame().select("table_name", "column_name", "col_id")
+    keys = spark.createDataFrame(list(given.FOREIGN_KEYS), "st string, sc string, tt string, tc string")
+    pairs = keys.join(columns.toDF("st", "sc", "source_col"), ["st", "sc"]).join(columns.toDF("tt", "tc", "target_col"), ["tt", "tc"])
+    found = estimates.estimated_overlaps(pairs, estimates.column_sketches(c))
+    return pairs.join(found, ["source_col", "target_col"]).select(
+        F.concat_ws(".", "st", "sc").alias("source"), F.concat_ws(".", "tt", "tc").alias("target"),
+        F.when(F.col("exact"), F.col("shared_estimate")).alias("shared_count"),
+    )
+
+
 @query
 def top_values(spark, sf_dir):
     c = given.catalog(spark, sf_dir)

@@ -118,15 +118,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _exploded(df: DataFrame, columns: list[dict], with_forms: bool) -> DataFrame:
-    """One row per (row, column) of a table; only the listed columns are read."""
+def exploded(df: DataFrame, columns: list[dict], with_forms: bool, keep: Iterable[str] = ()) -> DataFrame:
+    """One row per (row, column) of a table; only the listed columns are read, and those to ``keep`` beside them."""
     types = {f.name: f.dataType for f in df.schema.fields}
     structs = []
     for c in columns:
         keys = _keys(quoted(c["column_name"]), types[c["column_name"]], with_forms)
         fields = "".join(f", '{k}', CAST({keys.get(k, 'NULL')} AS {t})" for k, t in KEY_TYPES.items())
         structs.append(f"named_struct('col_id', {c['col_id']}{fields})")
-    return df.selectExpr(f"inline(array({', '.join(structs)}))")
+    return df.selectExpr(*map(quoted, keep), f"inline(array({', '.join(structs)}))")
 
 
 def value_counts(
@@ -148,7 +148,7 @@ def value_counts(
         if wanted is None or c["col_id"] in wanted:
             by_table.setdefault(c["table_key"], []).append(c)
     frames = {**catalog.tables, **(sampled or {})}
-    scans = [_exploded(frames[key], columns, text_forms) for key, columns in by_table.items()]
+    scans = [exploded(frames[key], columns, text_forms) for key, columns in by_table.items()]
     if not scans:
         schema = ", ".join(f"{k} {t}" for k, t in KEY_TYPES.items())
         return catalog.spark.createDataFrame([], f"col_id int, {schema}, cnt long")
