@@ -209,3 +209,23 @@ def test_string_statistics_have_no_expand(spark):
     found = string_statistics(values, columns)
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
     assert (found.first().whitespace_normalized_distinct, found.first().lower_normalized_distinct) == (2, 2)
+
+
+def test_a_sample_of_files_reads_only_these(spark, tmp_path):
+    spark.range(0, 8000, 1, 40).withColumn("b c", F.col("id") % 9).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    c = Catalog(spark, {"t.t": stored, "t.made": stored.groupBy("id").count()})
+    config = Config(mode_a_max_rows=10, sample_fraction=0.25, sample_by="files")
+    modes = profiling_modes(c.columns_frame(), c.row_counts(), config)
+    scans = sampled_scans(c, modes, config)
+    found = sorted(r.id for r in scans["t.t"].collect())
+    assert 0.1 * 8000 < len(found) < 0.45 * 8000 and len(found) % 200 == 0
+    assert found == sorted(r.id for r in sampled_scans(c, modes, config)["t.t"].collect())
+    assert 1000 < scans["t.made"].count() < 3000  # by rows
+    plan = scans["t.t"]._jdf.queryExecution().executedPlan()  # as collected above
+    read = plan.collectLeaves().head().metrics()
+    assert read.apply("numFiles").value() == len(found) // 200
+    assert read.apply("numOutputRows").value() == len(found)
+    # However small the share, one file is read.
+    few = sampled_scans(c, modes, Config(mode_a_max_rows=10, sample_fraction=1e-9, sample_by="files"))
+    assert few["t.t"].count() == 200

@@ -36,7 +36,8 @@ class Config:
     """Settings with an effect; weights, bands and minimums default to the original tool's.
 
     Every row is read unless ``sample_fraction`` is given, the share of rows to read of
-    each table in mode B or C.  ``scope`` picks the value sets that are compared: ``"full"``
+    each table in mode B or C; ``sample_by`` ``"rows"`` reads all and keeps a share, ``"files"`` reads a
+    share of a table's files only.  ``scope`` picks the value sets that are compared: ``"full"``
     takes all distinct values and tokens, ``"top"`` only the ``top_n`` most frequent values
     and the samples of each column.  ``common_values`` limits the shared values that are
     listed; without it all are.
@@ -52,6 +53,7 @@ class Config:
     aliases: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: DEFAULT_ALIASES)
     mode_a_max_rows: int = 100_000
     sample_fraction: float | None = None
+    sample_by: str = "rows"
     sample_size: int = 100
     top_n: int = 10
     sample_values: int = 20
@@ -71,6 +73,8 @@ class Config:
             raise ValueError("scope is 'full' or 'top'")
         if self.sample_fraction is not None and not 0.0 < self.sample_fraction <= 1.0:
             raise ValueError("sample_fraction must be above 0 and at most 1")
+        if self.sample_by not in ("rows", "files"):
+            raise ValueError("sample_by is 'rows' or 'files'")
 
     @property
     def strict(self) -> bool:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +151,22 @@ def profiling_modes(columns: DataFrame, row_counts: DataFrame, config: Config) -
     )
 
 
+def has_file_names(frame: DataFrame) -> bool:
+    """Whether rows of ``frame`` know their file: it is a scan, not a join or aggregation of some."""
+    try:
+        frame.select("_metadata.file_name").schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def sampled_scans(catalog: Catalog, modes: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """Row samples of the tables marked ``sampled``; one driver-side row per such table.
+    """Samples of the tables marked ``sampled``; one driver-side row per such table.
 
     A row belongs to the sample by the md5 of its primary key (of all columns where none is
-    declared), so a task that runs again, or another partitioning, takes the same rows.
+    declared), so a task that runs again, or another partitioning, takes the same rows.  With ``sample_by``
+    ``files`` a file does by the md5 of its name, with all its rows, and the others are pruned from the scan; the
+    one with the least md5 always does.  Tables that are not read from files are sampled by rows.
     """
     if config.sample_fraction is None:
         return {}
@@ -163,6 +178,11 @@ def sampled_scans(catalog: Catalog, modes: DataFrame, config: Config) -> dict[st
     samples = {}
     for r in modes.where("sampled").select("table_key").toLocalIterator():
         frame = catalog.tables[r["table_key"]]
+        files = frame.inputFiles() if config.sample_by == "files" and "_metadata" not in frame.columns else []
+        if files and has_file_names(frame):
+            least = min(hashlib.md5(unquote(f.rsplit("/", 1)[-1]).encode()).hexdigest() for f in files)
+            samples[r["table_key"]] = frame.where(f"left(md5(_metadata.file_name), 8) <= '{max(last, least[:8])}'")
+            continue
         named = [quoted(c) for c in keys.get(r["table_key"], frame.columns)]
         texts = [f"coalesce(CAST({c} AS STRING), '')" for c in named]
         samples[r["table_key"]] = frame.where(f"left(md5(concat_ws('|', {', '.join(texts)})), 8) < '{last}'")
