@@ -658,31 +658,30 @@ def drift_summary(spark, sf_dir):
 # -- histories of snapshots
 
 
-def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(
-        materialize(given.derived(spark, sf_dir, sql), "snapshots")
-        for sql in (given.HISTORY_TABLES, given.HISTORY_COLUMNS, given.HISTORY_VERSIONS)
-    )
+def _versions(spark, sf_dir) -> DataFrame:
+    return materialize(given.derived(spark, sf_dir, given.HISTORY_VERSIONS), "versions")
+
+
+def _column_history(spark, sf_dir) -> DataFrame:
+    return history.column_history(given.derived(spark, sf_dir, given.HISTORY_COLUMNS), _versions(spark, sf_dir))
 
 
 @query
 def column_history(spark, sf_dir):
-    _, columns, versions = _snapshots(spark, sf_dir)
-    return history.column_history(columns, versions)
+    return _column_history(spark, sf_dir)
 
 
 @query
 def table_history(spark, sf_dir):
-    tables, _, versions = _snapshots(spark, sf_dir)
-    return history.table_history(tables, versions)
+    return history.table_history(given.derived(spark, sf_dir, given.HISTORY_TABLES), _versions(spark, sf_dir))
 
 
 @query
 def extended_history(spark, sf_dir):
     """Three snapshots at once, then the other two one by one."""
-    _, columns, versions = _snapshots(spark, sf_dir)
+    columns, versions = given.derived(spark, sf_dir, given.HISTORY_COLUMNS), _versions(spark, sf_dir)
     early = F.col("version") <= 3
-    rows = history.column_history(columns.where(early), versions.where(early))
+    rows = materialize(history.column_history(columns.where(early), versions.where(early)), "history")
     for version in (4, 5):
         snapshot = columns.where(F.col("version") == version)
         rows = materialize(history.extended(rows, snapshot, version, history.COLUMN_KEY, history.COLUMN_STATE), "history")
@@ -691,18 +690,13 @@ def extended_history(spark, sf_dir):
 
 @query
 def history_as_of(spark, sf_dir):
-    _, columns, versions = _snapshots(spark, sf_dir)
-    return history.as_of(history.column_history(columns, versions), 4)
+    return history.as_of(_column_history(spark, sf_dir), 4)
 
 
 @query
 def history_changes(spark, sf_dir):
     """What changed from version 2 to 5, read from the histories."""
-    tables, columns, versions = _snapshots(spark, sf_dir)
-    kept = [
-        materialize(rows, "history")
-        for rows in (history.table_history(tables, versions), history.column_history(columns, versions))
-    ]
+    kept = [materialize(rows, "history") for rows in (table_history(spark, sf_dir), _column_history(spark, sf_dir))]
     return history.changes_between(*kept, later=5, earlier=2)
 
 

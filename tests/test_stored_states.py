@@ -64,6 +64,13 @@ def test_intervals_against_the_plain_way(snapshots):
     assert tuples(history.column_history(columns.union(columns), versions)) == wanted
 
 
+def test_intervals_take_one_shuffle_and_one_sort(snapshots):
+    _, columns, versions = snapshots
+    plan = history.column_history(columns, versions)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(table_key") == 1
+    assert plan.count("Sort [table_key") == 1
+
+
 def test_folding_one_by_one_gives_the_same(snapshots):
     _, columns, versions = snapshots
     rows = history.column_history(columns.where("version = 1"), versions.where("version = 1"))

@@ -27,13 +27,17 @@ def column_changes(
     """One row per changed column of the tables in both snapshots.
 
     A column may change its type and its nullability at once, which gives two rows.  Both
-    snapshots are one union with the side on each row, so each is read once.
+    snapshots are one union with the side on each row, so each is read once.  Columns are dealt out by
+    their table, so that they are grouped and meet the tables of both in one shuffle and one sort.
     """
     is_new, fields = F.col("is_new"), ("data_type", "is_nullable")
     tables = _sides(current_tables.select("table_key"), previous_tables.select("table_key"))
-    common = tables.groupBy("table_key").agg(F.count_distinct("is_new").alias("sides")).where("sides = 2")
+    common = tables.groupBy("table_key").agg(
+        F.bool_or("is_new").alias("is_now"), F.bool_or(~is_new).alias("was")
+    ).where("is_now AND was")
     columns = ("table_key", "column_name", *fields)
-    both = _sides(current.select(*columns), previous.select(*columns)).groupBy("table_key", "column_name").agg(
+    sides = _sides(current.select(*columns), previous.select(*columns)).repartition("table_key")
+    both = sides.groupBy("table_key", "column_name").agg(
         *[
             F.max(F.when(side, F.col(field))).alias(f"{when}_{short}")
             for when, side in (("new", is_new), ("old", ~is_new))

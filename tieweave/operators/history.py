@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,30 +22,28 @@ def intervals(snapshots: DataFrame, versions: DataFrame, key: tuple[str, ...], s
     A key that goes away and comes back has two intervals.  A key stands in a version once; of
     repeated rows the least state counts.  A state may be null, which is a state like others.
 
-    Versions are numbered in one task, one row for each snapshot.  All else is grouped by key, and a key
-    has at most one row for each snapshot.
+    Versions are numbered in one task, one row for each snapshot.  All else meets by key in one shuffle and
+    one sort, and a key has one row for each snapshot: its islands are read off its neighbours.
     """
     order = Window.orderBy("version")
     numbered = versions.select("version").distinct().select(
         "version", F.row_number().over(order).alias("_at"), F.lead("version").over(order).alias("_next")
     )
-    rows = (
-        snapshots.groupBy("version", *key)
-        .agg(F.min(F.struct(*state)).alias("_state"))
-        .join(numbered, "version")
-    )
+    rows = snapshots.select("version", *key, F.struct(*state).alias("_state")).join(F.broadcast(numbered), "version")
+    # The sort of this window is that of all that follow.
+    repeated = F.lag("_at").over(Window.partitionBy(*key).orderBy("_at", "_state")).eqNullSafe(F.col("_at"))
+    rows = rows.withColumn("_repeated", repeated).where("NOT _repeated")
     mine = Window.partitionBy(*key).orderBy("_at")
-    goes_on = F.lag("_state").over(mine).eqNullSafe(F.col("_state")) & (F.lag("_at").over(mine) == F.col("_at") - 1)
-    starts = rows.withColumn("_starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    islands = starts.withColumn("_island", F.sum("_starts").over(mine))
-    return (
-        islands.groupBy(*key, "_island")
-        .agg(
-            F.first("_state").alias("_state"),
-            F.min("version").alias("valid_from"),
-            F.max_by("_next", "_at").alias("valid_to"),
-        )
-        .select(*key, *[F.col("_state")[name].alias(name) for name in state], "valid_from", "valid_to")
+
+    def breaks(neighbour: Callable[[str], Column], step: int) -> Column:
+        same = neighbour("_state").over(mine).eqNullSafe(F.col("_state"))
+        return ~F.coalesce(same & (neighbour("_at").over(mine) == F.col("_at") + step), F.lit(False))
+
+    ends = rows.withColumn("_starts", breaks(F.lag, -1)).withColumn("_ends", breaks(F.lead, 1)).where("_starts OR _ends")
+    # An island is one row now, or its first and its last.
+    until = F.when(F.col("_ends"), F.col("_next")).otherwise(F.lead("_next").over(mine))
+    return ends.withColumn("valid_to", until).where("_starts").select(
+        *key, *[F.col("_state")[name].alias(name) for name in state], F.col("version").alias("valid_from"), "valid_to"
     )
 
 
@@ -62,7 +62,7 @@ def extended(history: DataFrame, snapshot: DataFrame, version: int, key: tuple[s
     Keys are not null.  A version that the history already has gives the history unchanged if the snapshot is the same.
     """
     open_ = history.where(F.col("valid_to").isNull())
-    new = snapshot.groupBy(*key).agg(F.min(F.struct(*state)).alias("_new"))
+    new = snapshot.repartition(*key).groupBy(*key).agg(F.min(F.struct(*state)).alias("_new"))
     old = open_.select(*key, F.struct(*state).alias("_old"), "valid_from")
     met = old.join(new, list(key), "full")
     lasting = F.col("_old").eqNullSafe(F.col("_new"))
