@@ -123,3 +123,13 @@ def test_snapshot_round_trip(spark, tmp_path):
     changes = drift.column_changes(now_t, now_c, tables, columns)
     summary = drift.drift_summary(drift.table_verdicts(now_t, tables, changes)).first()
     assert (summary.has_drift, summary.unchanged_tables) == (False, 1)
+
+
+def test_a_response_is_read_once(spark):
+    rows = spark.createDataFrame([(1, '[{"table": "t"}]'), (2, "none"), (3, None)], "batch_id int, text string")
+    parsed = responses.parse_responses(rows.repartition(2))
+    assert [r.batch_id for r in responses.response_errors(parsed).orderBy("batch_id").collect()] == [2, 3]
+    for found in (responses.response_errors(parsed), responses.relationships(parsed)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # The fence and the list, each once.
+        assert plan.count("regexp_extract(") == 2 and plan.count("parseJson(") <= 6

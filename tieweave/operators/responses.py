@@ -24,12 +24,24 @@ _FENCE = r"```(?:json)?\s*\n([\s\S]*?)\n```"
 _LIST = r"(?s)\[.*\]"
 
 
-def json_part(text: Column) -> Column:
-    """The JSON of a response: out of its code fence, from the first ``[`` to the last ``]``."""
-    body = F.coalesce(F.nullif(F.regexp_extract(text, _FENCE, 1), F.lit("")), text)
-    return F.coalesce(
-        F.nullif(F.regexp_extract(body, _LIST, 0), F.lit("")), strip_blanks(body)
-    )
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each worked out once for a row.
+
+    A filter on them is not moved below the generator, where it would hold their expressions again, and theirs
+    in turn, as often as they are named.
+    """
+    found = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(found)))
+
+
+def json_part(responses: DataFrame) -> DataFrame:
+    """Adds ``json``, the JSON of ``text``: out of its code fence, from the first ``[`` to the last ``]``."""
+    kept = responses.columns
+    fenced = settled(responses, _fenced=F.regexp_extract("text", _FENCE, 1))
+    body = settled(fenced, _body=F.when(F.col("_fenced") != "", F.col("_fenced")).otherwise(F.col("text")))
+    listed = settled(body, _listed=F.regexp_extract("_body", _LIST, 0))
+    json = F.when(F.col("_listed") != "", F.col("_listed")).otherwise(strip_blanks(F.col("_body")))
+    return settled(listed, json=json).select(*kept, "json")
 
 
 def is_truncated(json: Column) -> Column:
@@ -60,14 +72,11 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     The text is parsed as it is, and cleaned only when that fails; either way a text
     with anything behind its end is no JSON.  A wrapper object gives its list field.
     """
-    json = responses.withColumn("json", json_part(F.col("text")))
-    tree = json.withColumn(
-        "tree", F.coalesce(_tree(F.col("json")), _tree(cleaned(F.col("json"))))
-    )
+    json = json_part(responses)
+    tree = settled(json, tree=F.coalesce(_tree(F.col("json")), _tree(cleaned(F.col("json")))))
     lists = [F.try_variant_get("tree", path, "array<variant>") for path in ("$", *(f"$.{f}" for f in WRAPPER_FIELDS))]
-    return tree.select(
-        *responses.columns, "json", F.coalesce(*lists).alias("items"), is_truncated(F.col("json")).alias("truncated")
-    )
+    found = settled(tree, items=F.coalesce(*lists), truncated=is_truncated(F.col("json")))
+    return found.select(*responses.columns, "json", "items", "truncated")
 
 
 def response_errors(parsed: DataFrame) -> DataFrame:
@@ -80,9 +89,7 @@ def response_errors(parsed: DataFrame) -> DataFrame:
 def _objects(parsed: DataFrame, schema: str) -> DataFrame:
     """Objects among the list elements; other elements are passed over."""
     items = parsed.select("batch_id", F.posexplode_outer("items").alias("position", "item"))
-    return items.select(
-        "batch_id", "position", F.try_variant_get("item", "$", schema).alias("r")
-    ).where(F.col("r").isNotNull())
+    return settled(items, r=F.try_variant_get("item", "$", schema)).where(F.col("r").isNotNull()).drop("item")
 
 
 def relationships(parsed: DataFrame) -> DataFrame:
