@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -169,3 +170,21 @@ def test_small_tables_reject_too(spark):
     print("junk rejected", sum(found[r[0]].rejected for r in junk), "known", sum(found[r[0]].rejected for r in rows))
     assert all(found[r[0]].rejected for r in junk)
     assert not any(found[r[0]].rejected for r in rows if r[2] != "dd")
+
+
+def test_tables_come_to_the_driver_as_columns(spark):
+    """Rows of Python objects took several hundred bytes an entry."""
+    entries = 200_000
+    tables = spark.range(entries).select(
+        F.lit("x").alias("lang"), F.lit(language.ORDER).alias("n"), F.lit(False).alias("weight"), F.col("id").alias("key"),
+        (-F.col("id") / entries).cast("float").alias("value"),
+    )
+    tracemalloc.start()
+    try:
+        model = language._model(["x"], tables, -1.0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 * entries
+    found = model.models[0].log_probability(np.arange(0, entries, 1000, dtype=np.uint64))
+    assert found == pytest.approx(-np.arange(0, entries, 1000) / entries, abs=1e-6)

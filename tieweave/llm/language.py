@@ -9,7 +9,6 @@ from functools import reduce
 from typing import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -102,16 +101,19 @@ class HashArray:
 
 
 class CharModel:
-    """The tables of one language as sorted hash arrays: logarithms of chances and of weights, by order."""
+    """The tables of one language as sorted hash arrays: logarithms of chances and of weights, by order.
 
-    def __init__(self, part: pd.DataFrame, uniform: float) -> None:
+    ``kinds`` has 2n for each chance of order n and 2n + 1 for each weight.
+    """
+
+    def __init__(self, kinds: np.ndarray, keys: np.ndarray, values: np.ndarray, uniform: float) -> None:
         self.uniform = uniform
         self.probability: list[HashArray] = []
         self.backoff: list[HashArray] = []
         for n in range(1, ORDER + 1):
-            for weight, arrays in ((False, self.probability), (True, self.backoff)):
-                own = part[(part["n"] == n) & (part["weight"] == weight)]
-                arrays.append(HashArray(own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()))
+            for weight, arrays in ((0, self.probability), (1, self.backoff)):
+                own = kinds == 2 * n + weight
+                arrays.append(HashArray(keys[own].view(np.uint64), values[own]))
 
     def log_probability(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.float32)
@@ -264,8 +266,14 @@ def kneser_ney(levels: list[DataFrame], alphabet: int) -> DataFrame:
 def _model(languages: list[str], tables: DataFrame, uniform: float) -> LanguageModel:
     model = LanguageModel(languages, uniform=uniform, tables=tables)
     if tables.count() <= HELD:
-        held = dict(list(tables.toPandas().groupby("lang")))
-        model.models = [CharModel(held[lang], uniform) for lang in languages]
+        # As Arrow columns of 18 bytes an entry: rows would take the driver some 500 bytes each.
+        names = F.create_map(*[F.lit(x) for pair in zip(languages, range(len(languages))) for x in pair])
+        kind = (2 * F.col("n") + F.col("weight").cast("int")).cast("short").alias("kind")
+        held = tables.select(F.element_at(names, F.col("lang")).alias("place"), kind, "key", "value").toArrow()
+        places, kinds, keys, values = (held.column(n).to_numpy() for n in range(4))
+        for n in range(len(languages)):
+            own = places == n
+            model.models.append(CharModel(kinds[own], keys[own], values[own], uniform))
     return model
 
 
