@@ -7,9 +7,12 @@ the whole tables.
 
 from __future__ import annotations
 
+from typing import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieweave.session import materialize
 from tieweave.sources.catalog import Catalog
 
 TABLES = (
@@ -78,6 +81,9 @@ _LINES = """
              JOIN part ON l_partkey = p_partkey
              JOIN supplier ON l_suppkey = s_suppkey
 """
+_LINE_COLUMNS = """
+    c_custkey, c_nationkey, p_brand, p_type, s_nationkey, l_linestatus, l_quantity, l_tax, l_returnflag
+"""
 _SIGNATURE = """
     'dbo.' || p_brand AS source_table_key, p_type AS source_column,
     'dbo.Nation' || s_nationkey AS target_table_key, 's_nationkey' AS target_column
@@ -104,6 +110,15 @@ CONFIRMATION_LOG = f"""
 SELECT {_SIGNATURE}, 'u' || c_nationkey AS session_id
 FROM {_LINES} WHERE l_returnflag = 'A'
 """
+
+
+def derived_from_lines(spark: SparkSession, sf_dir: str, queries: Iterable[str]) -> list[DataFrame]:
+    """``derived`` for several queries over the same lines, which are joined and written once."""
+    lines = materialize(derived(spark, sf_dir, f"SELECT {_LINE_COLUMNS} FROM {_LINES}"), "lines")
+    lines.createOrReplaceTempView("joined_lines")
+    return [spark.sql(sql.replace(_LINES, " joined_lines ")) for sql in queries]
+
+
 STORED_NODES = """
 SELECT DISTINCT 'g' || o_custkey || ':' || p_brand AS id, 'g' || o_custkey AS graph_id,
        'conn1' AS connection_id, 'dbo' AS schema_name, p_brand AS table_name

@@ -555,10 +555,16 @@ def next_versions(spark, sf_dir):
 
 
 def _confirmed_edges(spark, sf_dir) -> DataFrame:
-    """Counts of the stored edges after a log; the stored relations are tables, so they are written."""
-    stored = (given.STORED_EDGES, given.CONFIRMERS, given.CONFIRMATION_LOG)
-    parts = [materialize(given.derived(spark, sf_dir, sql), "stored") for sql in stored]
-    return materialize(stored_graphs.record_confirmations(*parts), "confirmed")
+    """Counts of the stored edges after a log.
+
+    All three relations come out of the same joined lines, which are written once, and so are the edges, as they
+    are met twice; of these the columns that no reader asks for are left out.
+    """
+    stored, confirmers, log = given.derived_from_lines(
+        spark, sf_dir, (given.STORED_EDGES, given.CONFIRMERS, given.CONFIRMATION_LOG)
+    )
+    stored = stored.select("id", "graph_id", *stored_graphs.SIGNATURE, "confirmed_by_count")
+    return stored_graphs.record_confirmations(materialize(stored, "stored"), confirmers, log)
 
 
 @query
@@ -581,7 +587,7 @@ def confirmation_counts(spark, sf_dir):
 
 @query
 def promoted_edges(spark, sf_dir):
-    return stored_graphs.promoted_edges(_confirmed_edges(spark, sf_dir), ONE_GRAPH).select(
+    return stored_graphs.promoted_edges(materialize(_confirmed_edges(spark, sf_dir), "confirmed"), ONE_GRAPH).select(
         *stored_graphs.SIGNATURE, "confirmed_by_count", "id"
     )
 

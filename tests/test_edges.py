@@ -126,6 +126,32 @@ def test_promotion(spark):
     assert [r.id for r in stored_graphs.promoted_edges(after, "g3").collect()] == ["e2"]
 
 
+def test_edges_meet_a_small_log_without_a_shuffle_by_signature(spark):
+    rows = spark.range(2000).selectExpr(
+        "'e' || id AS id", "'g' || id % 100 AS graph_id", "'a' || id % 7 AS source_table_key", "'x' AS source_column",
+        "'b' AS target_table_key", "'y' AS target_column", "0L AS confirmed_by_count",
+    )
+    own = spark.range(2000).selectExpr("'e' || id % 900 AS edge_id", "'s' || id % 3 AS session_id")
+    log = rows.where("id < 'e3'").selectExpr(*stored_graphs.SIGNATURE, "'s' || substr(id, -1) AS session_id")
+    after = stored_graphs.record_confirmations(rows, own, log)
+    for frame in (after, stored_graphs.promoted_edges(after, "g1")):
+        by_signature = [
+            line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines()
+            if "Exchange hashpartitioning(source_table_key" in line
+        ]
+        assert len(by_signature) <= (frame is not after)  # the cut ranks only
+    sessions = {f"e{n}": set() for n in range(2000)}
+    for n in range(2000):
+        sessions[f"e{n % 900}"].add(f"s{n % 3}")
+    logged = {}
+    for n in range(2000):
+        if f"e{n}" < "e3":
+            logged.setdefault(n % 7, set()).add(f"s{n % 10}")
+    assert {r.id: r.confirmed_by_count for r in after.collect()} == {
+        f"e{n}": len(sessions[f"e{n}"] | logged[n % 7]) for n in range(2000)
+    }
+
+
 def test_context_and_current_graph(spark):
     nodes = spark.createDataFrame(
         [("c.dbo.a", 3, {"x": "int"}), ("c.dbo.b", 4, {"y": "int"})], "node_key string, row_count long, columns map<string,string>"

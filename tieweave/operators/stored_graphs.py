@@ -10,6 +10,7 @@ from tieweave.functions.text import edge_key, node_parts
 from tieweave.operators.edges import EDGE_KEY
 from tieweave.operators.responses import one_description
 from tieweave.operators.values import rank_values
+from tieweave.session import materialize
 
 SIGNATURE = ("source_table_key", "source_column", "target_table_key", "target_column")
 
@@ -152,20 +153,27 @@ def record_confirmations(edges: DataFrame, confirmers: DataFrame, log: DataFrame
     """Edges of all graphs with their confirmation counts after a log of confirmations.
 
     A session that confirms a signature counts once for every edge with it, beside the
-    sessions the edge already had: ``confirmers(edge_id, session_id)``.  Sessions are
-    kept as rows and counted, never gathered into a list, so a signature confirmed by
-    everyone costs no more than its rows.
+    sessions the edge already had: ``confirmers(edge_id, session_id)``.  ``edges`` holds each
+    id once.  Sessions are kept as rows and counted, never gathered into a list, so a signature
+    confirmed by everyone costs no more than its rows.
+
+    What the log confirms is written once, with a number for each signature: as written tables
+    they are broadcast if small, and only that number goes along when edges meet sessions by id.
     """
-    fresh = log.select(*SIGNATURE, "session_id").distinct()
+    fresh = materialize(log.select(*SIGNATURE, "session_id").distinct(), "fresh")
     per_signature = fresh.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("from_log"))
-    own = confirmers.select("edge_id", "session_id").distinct()
+    per_signature = materialize(per_signature.withColumn("signature", F.monotonically_increasing_id()), "signatures")
+    numbers = per_signature.select(*SIGNATURE, "signature")
+    known = materialize(fresh.join(numbers, list(SIGNATURE)).select("signature", "session_id"), "known")
+    confirmed = edges.join(numbers, list(SIGNATURE)).select(F.col("id").alias("edge_id"), "signature")
     only_own = (
-        own.join(edges.select(F.col("id").alias("edge_id"), *SIGNATURE), "edge_id")
-        .join(fresh, [*SIGNATURE, "session_id"], "left_anti")
+        confirmers.select("edge_id", "session_id").repartition("edge_id").distinct()
+        .join(confirmed, "edge_id")
+        .join(known, ["signature", "session_id"], "left_anti")
         .groupBy(F.col("edge_id").alias("id"))
         .agg(F.count(F.lit(1)).alias("only_own"))
-    )
-    rows = edges.join(per_signature, list(SIGNATURE), "left").join(only_own, "id", "left")
+    )
+    rows = edges.join(per_signature.drop("signature"), list(SIGNATURE), "left").join(only_own, "id", "left")
     counted = F.col("from_log") + F.coalesce("only_own", F.lit(0))
     return rows.withColumn("confirmed_by_count", F.coalesce(counted, F.col("confirmed_by_count"))).select(
         *edges.columns
@@ -191,7 +199,8 @@ def confirmation_counts(edges: DataFrame) -> DataFrame:
 
 def promoted_edges(edges: DataFrame, graph_id: str, threshold: int = Config.promotion_threshold) -> DataFrame:
     """Edges other graphs confirmed often enough and this graph lacks, one per signature."""
-    here = of_graph(edges, graph_id).select(*SIGNATURE)
+    # One graph's signatures, written so that their size is known and the others need no shuffle to meet them.
+    here = materialize(of_graph(edges, graph_id).select(*SIGNATURE).distinct(), "here")
     others = edges.where((F.col("graph_id") != graph_id) & (F.col("confirmed_by_count") >= threshold))
     missing = others.join(here, list(SIGNATURE), "left_anti")
     best = [F.col("confirmed_by_count").desc(), F.col("id").asc()]
