@@ -90,10 +90,16 @@ def _keys(value: str, dtype: T.DataType, with_forms: bool) -> dict[str, str]:
         whole = f"(abs({v}) < {_BIGINT_LIMIT} AND floor({v}) = {v})"
         return {"k_num": f"if({whole}, try_cast({v} AS BIGINT), NULL)", "k_dbl": f"if({whole}, NULL, {v})"}
     if isinstance(dtype, T.DecimalType):
-        integer = f"if(floor({value}) = {value}, try_cast({value} AS BIGINT), NULL)"
+        # Tested before it is cast: an overflow that try_cast catches costs more than all the rest of a value.
+        whole = [f"{value} BETWEEN -9223372036854775808BD AND 9223372036854775807BD"] * (dtype.precision - dtype.scale > 18)
+        # By the remainder, whose type has the scale of the value: floor's would not fit beside 38 digits.
+        whole += [f"{value} % 1BD = 0"] * (dtype.scale > 0)
+        integer = f"if({' AND '.join(whole) or 'true'}, CAST({value} AS BIGINT), NULL)"
         v = f"CAST({value} AS DOUBLE)"
         held = f"coalesce(try_cast({v} AS {dtype.simpleString()}) = {value}, false)"
-        digits = f"regexp_replace(regexp_replace(CAST({value} AS STRING), r'(\\.\\d*?)0+$', '$1'), r'\\.$', '')"
+        digits = f"CAST({value} AS STRING)"
+        if dtype.scale > 0:
+            digits = f"if(contains({digits}, 'E'), {digits}, rtrim('.', rtrim('0', {digits})))"
         return {
             "k_num": integer,
             "k_dbl": f"if({integer} IS NULL AND {held}, {v}, NULL)",
