@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tieweave.operators.responses import one_description
+from tieweave.session import materialize
 
 # Versions of the formats, and the defaults of fields that an edge lacks.
 REPORT_VERSION = "1.0.0"
@@ -133,8 +134,11 @@ def load_edges(spark: SparkSession, folder: str, kind: str, schema) -> DataFrame
 
 
 def export_graph(folder: str, graph_id: str, graphs: DataFrame, nodes: DataFrame, edges: DataFrame, confirmers: DataFrame) -> None:
-    """Write one graph with nodes, edges and the sessions behind the edges."""
-    own_edges = edges.where(F.col("graph_id") == graph_id)
+    """Write one graph with nodes, edges and the sessions behind the edges.
+
+    Its edges are met twice, so they are written first; confirmers then meet them at their measured size.
+    """
+    own_edges = materialize(edges.where(F.col("graph_id") == graph_id), "own_edges")
     own_confirmers = confirmers.join(own_edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
     write_bundle(
         folder,
