@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tieweave.operators import confirmation_state as cs
 from tieweave.operators import drift, history
+from tieweave.sources import reports
 from tieweave.sources.graph_table import GraphTable
 
 COLUMNS = "version long, table_key string, column_name string, data_type string, is_nullable boolean"
@@ -181,3 +182,27 @@ def test_a_failed_write_leaves_the_old_version(graphs):
         table.save(rows.withColumn("text", F.raise_error(F.lit("lost")).cast("string")))
     assert table.version() == 1
     assert tuples(table.rows().drop("bucket")) == tuples(rows)
+
+
+def test_what_is_saved_or_exported_is_worked_out_once(spark, tmp_path):
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            worked.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(40).selectExpr("'e' || id AS id", "'g' || id % 4 AS graph_id")
+    counted = rows.mapInArrow(seen, rows.schema)
+    table = GraphTable(spark, str(tmp_path / "table"), rows.schema, buckets=3)
+    assert table.save(rows.where("false")) == 0 and table.rows().count() == 0
+    for version in (1, 2):
+        assert table.save(counted) == version
+        assert worked.value == 40 * version
+        assert sorted(r.id for r in table.rows().collect()) == sorted(r.id for r in rows.collect())
+    own = spark.createDataFrame([("e5", "s1"), ("e6", "s2"), ("e9", "s3")], "edge_id string, session_id string")
+    graphs = spark.createDataFrame([("g1",), ("g2",)], "id string")
+    reports.export_graph(str(tmp_path / "out"), "g1", graphs, rows.select("graph_id"), counted, own)
+    assert worked.value == 120
+    assert {r.edge_id for r in spark.read.json(str(tmp_path / "out/confirmers")).collect()} == {"e5", "e9"}
+    assert spark.read.json(str(tmp_path / "out/edges")).count() == 10

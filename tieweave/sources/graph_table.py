@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from tieweave.session import materialize
+
 
 class GraphTable:
     """Rows of all graphs, with a manifest of the folder that holds each bucket's current files.
@@ -58,9 +60,14 @@ class GraphTable:
     def save(self, rows: DataFrame) -> int:
         """The graphs in ``rows`` replace those of the same id; returns the new version.
 
-        Rows without an id are added and replace nothing.  Without rows nothing changes.
+        Rows without an id are added and replace nothing.  Without rows nothing changes.  They are worked out
+        once: a table without a version has nothing to replace; else they are read twice, so they are written first.
         """
-        return self._replace(rows.select(self.key).distinct(), rows.select(*self.schema.names))
+        rows = rows.select(*self.schema.names)
+        if not self.version():
+            return self._write(1, self._in_buckets(rows), set())
+        rows = materialize(rows, "saved")
+        return self._replace(rows.select(self.key).distinct(), rows)
 
     def delete(self, doomed: DataFrame) -> int:
         """Removes the graphs in ``doomed`` (the key column)."""
@@ -71,22 +78,31 @@ class GraphTable:
         return self.save(self.of_graph(source_id).withColumn(self.key, F.lit(new_id)))
 
     def _replace(self, graphs: DataFrame, rows: DataFrame | None) -> int:
-        version, write = self.version() + 1, f"w{uuid.uuid4().hex}"
+        version = self.version() + 1
         key = self.bucket(F.col(self.key)).alias("bucket")
         touched = sorted(r["bucket"] for r in graphs.select(key).distinct().collect())
         if not touched:
             return version - 1
         kept = self.rows().where(F.col("bucket").isin(touched)).join(graphs, self.key, "left_anti")
-        columns = [*self.schema.names, "bucket"]
-        out = kept.select(*columns)
+        out = kept.select(*self.schema.names, "bucket")
         if rows is not None:
-            out = out.unionByName(rows.withColumn("bucket", self.bucket(F.col(self.key))).select(*columns))
+            out = out.unionByName(self._in_buckets(rows))
+        return self._write(version, out, set(touched))
+
+    def _in_buckets(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", self.bucket(F.col(self.key))).select(*self.schema.names, "bucket")
+
+    def _write(self, version: int, out: DataFrame, touched: set[int]) -> int:
+        """Writes the rows of the ``touched`` buckets, and of any others in ``out``, and commits them."""
+        write = f"w{uuid.uuid4().hex}"
         # Salted, so that a graph with most rows is written by several tasks.
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in self.schema.names]), F.lit(16))
         out.repartition("bucket", salt).write.partitionBy("bucket").parquet(f"{self.folder}/data/write={write}")
         # A bucket that is left without rows has no folder: its entry names none.
         filled = {r["bucket"] for r in self._written(write)}
-        entries = [(version, b, write if b in filled else None) for b in touched]
+        entries = [(version, b, write if b in filled else None) for b in sorted(touched | filled)]
+        if not entries:
+            return version - 1
         self.spark.createDataFrame(entries, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
         return version
 
