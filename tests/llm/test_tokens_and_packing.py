@@ -58,6 +58,29 @@ def test_parts_are_forgotten_without_harm(whole, monkeypatch):
     assert len(codec.known) < 10
 
 
+def test_new_parts_are_encoded_in_few_texts():
+    from tieweave.llm.encoder import Encoder
+
+    codec = Encoder(definition(VOCABULARY))
+    tokenizer, texts = codec.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            texts.extend(some)
+            return tokenizer.encode_batch_fast(some, **options)
+
+    codec.tokenizer = Counted()
+    special = codec.special[0]
+    given = [" ".join(f"wort{n}é x{n}," for n in range(1000)), f"a{special} {special}b", special, "x\x85y", "", "\n \t"]
+    for codec.between in (codec.between, None):
+        codec.known.clear()
+        texts.clear()
+        found = codec.encode(given, 0)
+        plain = [tokenizer.encode(text, add_special_tokens=False).ids + [0] for text in given]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == plain
+        assert len(texts) < 20 if codec.between else len(texts) > 2000
+
+
 def check_packing(pieces, texts, whole, capacity):
     """Pieces cover each document once, sequences are gapless, and what is not full is a power of two."""
     sequences = defaultdict(list)
