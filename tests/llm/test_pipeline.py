@@ -68,3 +68,18 @@ def test_run_gives_the_last_stages_rows(spark, corpus):
     folder, _ = corpus
     found = corpus_pipeline.run(spark, folder)
     assert "sequence_id" in found.columns and found.count() > 100
+
+
+def test_tables_that_hold_all_texts_or_ids_are_zstd(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from tieweave import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(n, f"word {n} of it", "aa", "s1", 10) for n in range(20)], SCHEMA)
+    corpus_pipeline.near_dedup(spark, docs, "")
+    corpus_pipeline.pack_windows(spark, docs, "")
+    for label in ("prints", "placed"):
+        files = [pq.ParquetFile(f).metadata for f in tmp_path.rglob(f"{label}-*/part-*.parquet")]
+        codecs = {m.row_group(0).column(c).compression for m in files if m.num_row_groups for c in range(m.num_columns)}
+        assert "ZSTD" in codecs and "SNAPPY" not in codecs

@@ -217,7 +217,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartition(shuffle_partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    placed = materialize(dealt.mapInArrow(run, KINDS + ", pending boolean"), "placed")
+    # Beside the shuffled texts the largest of what stands on disk.
+    placed = materialize(dealt.mapInArrow(run, KINDS + ", pending boolean"), "placed", compression="zstd")
     filled = F.sum("length").over(Window.partitionBy("sequence_id"))
     pending = placed.where("pending").withColumn("filled", filled)
     open_ = pending.where(F.col("filled") < capacity).repartition(shuffle_partitions(spark), "sequence_id")

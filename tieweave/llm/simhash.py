@@ -444,7 +444,8 @@ def near_copies_removed(docs: DataFrame, words: int = 5, similarity: float = 0.8
     # The caller's columns of the same names as inner ones step aside until the end.
     aside = {c: f"_own{n}" for n, c in enumerate(columns) if c.lower() in INNER}
     docs = docs.withColumnsRenamed(aside)
-    prints = materialize(fingerprints(docs, words, once=True), "prints")
+    # Holds every text and stays until the folder is emptied.
+    prints = materialize(fingerprints(docs, words, once=True), "prints", compression="zstd")
     nodes = materialize(
         prints.groupBy("wording", "print", "print_2", "bucket").agg(F.min("doc_id").alias("first_id")), "nodes"
     )
