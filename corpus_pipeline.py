@@ -12,6 +12,10 @@ from tieweave.llm import language, mixing, packing, secrets, simhash
 from tieweave.llm.common import pmod_of_id
 from tieweave.session import materialize
 
+#: Text that a packing task encodes at once and parts it remembers: the executors still hold what the stages
+#: before took.
+SLICE, KEPT_PARTS = 2 << 20, 100_000
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -42,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in sequences of at most 1024 tokens, and their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, slice_bytes=SLICE, kept_parts=KEPT_PARTS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -58,6 +58,25 @@ def test_parts_are_forgotten_without_harm(whole, monkeypatch):
     assert len(codec.known) < 10
 
 
+def test_encoders_go_when_workers_run_other_tasks(spark, docs):
+    import pyarrow as pa
+
+    from tieweave.llm import encoder as module
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(module._encoders)] * len(batch), pa.int64())], names=["n"])
+
+    packing.pack(docs, VOCABULARY).count()
+    other = spark.range(0, 64, 1, 8).mapInArrow(held, "n long").distinct().collect()
+    assert [r.n for r in other] == [0]
+
+
+def test_a_task_told_to_hold_less_gives_the_same_rows(spark, docs):
+    every = lambda **less: sorted(packing.pack(docs, VOCABULARY, capacity=64, **less).collect(), key=str)
+    assert every(slice_bytes=100, kept_parts=5) == every()
+
+
 def test_new_parts_are_encoded_in_few_texts():
     from tieweave.llm.encoder import Encoder
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieweave.llm.common import slices, shuffle_partitions
-from tieweave.llm.encoder import definition, encoder
+from tieweave.llm.encoder import definition, encoder_of
 from tieweave.session import materialize
 
 #: Open windows whose pieces a packer holds at most.  Of others it keeps a number each; their pieces go out
@@ -168,7 +168,10 @@ class Cutter:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = True,
+    slice_bytes: int = 8 << 20, kept_parts: int | None = None,
+) -> DataFrame:
     """Packs the token ids of ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Each document's ids end with ``end_id``.  Documents are dealt to packers by a hash of id and
@@ -179,6 +182,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
 
     Null text counts as empty: the end id alone.  A null id stays null.  Repeated rows and ids
     are packed each for itself.  An empty table gives no rows.  Other columns are not read.
+
+    ``slice_bytes`` of text are encoded at once and about twice ``kept_parts`` parts of texts remembered
+    (None: the encoder's ``KEPT_PARTS``): fewer take a task less memory and more time; the rows are the same.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -186,7 +192,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
     shipped = spark.sparkContext.broadcast(definition(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(shipped.value)
+        codec = encoder_of(shipped, kept_parts)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40, HELD_WINDOWS)
 
         def out(found: list[tuple]) -> pa.RecordBatch:
@@ -195,7 +201,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
             return as_batch(found, ROWS)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", slice_bytes):
                 found: list[tuple] = []
                 encoded = codec.encode(part.column("text").to_pylist(), end_id)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tieweave.llm.common import slices, shuffle_partitions
-from tieweave.llm.encoder import definition, encoder
+from tieweave.llm.encoder import definition, encoder_of
 from tieweave.session import shared_folder
 
 ROWS = pa.schema(
@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
     shipped = spark.sparkContext.broadcast(definition(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, begun = encoder(shipped.value), TaskContext.get().partitionId(), 0
+        codec, part, begun = encoder_of(shipped), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 encoded = codec.encode(piece.column("text").to_pylist(), end_id)
